@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, lines, simhash
 
-QUERIES = {"op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination}
-ORACLES = {"op4_benchmark_decontamination": decontaminate.ORACLE}
+QUERIES = {
+    "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_line_dedup": lines.op9_line_dedup,
+}
+ORACLES = {"op4_benchmark_decontamination": decontaminate.ORACLE, "op9_line_dedup": lines.ORACLE}
