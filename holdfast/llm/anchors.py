@@ -10,9 +10,15 @@ from __future__ import annotations
 
 import numpy as np
 
+from .blocks import dealt, gathered, groups, short
 from .textcore import mix, roll, sliding_min, spread
 
 _U = np.uint64
+#: Kinds of answers: one content everywhere; several contents; several contents in more runs than ``HOT``.
+SHARED, MIXED, MANY = 0, 1, 2
+NONE = np.iinfo(np.int64).max
+#: Bytes of a content hash beside its anchor's.
+CONTENT = 6
 
 
 def runs(x: np.ndarray, offs: np.ndarray, width: int, gram: int):
@@ -41,3 +47,88 @@ def runs(x: np.ndarray, offs: np.ndarray, width: int, gram: int):
     size = size[keep]
     size = last[starts + size] - last[starts]
     return np.searchsorted(offs, starts, "right") - 1, starts, size, least[starts], content, window
+
+
+def summed(key: np.ndarray, d: np.ndarray, content: np.ndarray | None = None):
+    """Per distinct key: least and most d, number of entries; then one content and whether contents differ."""
+    order = np.argsort(key, kind="stable")
+    key, d = key[order], d[order]
+    at, _ = groups(key)
+    if not len(key):
+        return (key, d, d, d) if content is None else (key, d, d, d, content, np.zeros(0, np.uint8))
+    out = (key[at], np.minimum.reduceat(d, at), np.maximum.reduceat(d, at), np.diff(np.append(at, len(key))))
+    if content is None:
+        return out
+    content = content[order]
+    low = np.minimum.reduceat(content, at)
+    return *out, low, (low != np.maximum.reduceat(content, at)).astype(np.uint8)
+
+
+def announce(width: int, gram: int, buckets: int, size: int, symbols):
+    """The first message of a block: its distinct anchors, as the upper ``size`` bytes of their hashes.
+
+    A short key can only join different anchors, whose contents then differ; that costs work, not truth."""
+
+    def f(block, table):
+        a, d, r = [], [], []
+        for offs, x, doc in symbols(table):
+            text, _, _, anchor, content, _ = runs(x, offs, width, gram)
+            a.append(anchor >> _U(64 - 8 * size)), d.append(doc[text]), r.append(content >> _U(64 - 8 * CONTENT))
+        if a:
+            key, least, most, n, content, mixed = summed(np.concatenate(a), np.concatenate(d), np.concatenate(r))
+            yield dealt(0, block, (key % _U(buckets)).astype(np.int64), short(key, size), least, most - least, n.astype(np.int32), short(content, CONTENT), mixed)
+
+    return f
+
+
+def shared_anchors(size: int, hot: int = NONE):
+    """Answers to blocks about anchors that two documents hold: (key, least d) as SHARED to the blocks of
+    later documents, or MIXED to all (MANY beyond ``hot`` runs)."""
+
+    def f(bucket, origins, payloads):
+        key, least, span, n, content, mixed, origin = gathered(payloads, [size, np.int64, np.int64, np.int32, CONTENT, np.uint8])
+        if not len(key):
+            return
+        order = np.argsort(key, kind="stable")
+        key, least, most, n, content, mixed, origin = (v[order] for v in (key, least, least + span, n, content, mixed, origins[origin]))
+        at, run = groups(key)
+        low = np.minimum.reduceat(least, at)
+        shared = low < np.maximum.reduceat(most, at)
+        differ = (np.minimum.reduceat(content, at) != np.maximum.reduceat(content, at)) | (np.maximum.reduceat(mixed, at) > 0)
+        many = np.add.reduceat(n.astype(np.int64), at) > hot
+        for kind, pick in ((SHARED, (shared & ~differ)[run] & (most > low[run])), (MIXED, (shared & differ & ~many)[run]), (MANY, (shared & differ & many)[run])):
+            if pick.any():
+                yield dealt(kind, bucket, origin[pick], short(key[pick], size), low[run][pick])
+
+    return f
+
+
+def window_answers(kind: int):
+    """Answers (window hash, least d) to the blocks of later documents."""
+
+    def f(bucket, origins, payloads):
+        key, least, most, origin = gathered(payloads, [_U, np.int64, np.int64])
+        if len(key):
+            order = np.argsort(key, kind="stable")
+            key, least, most, origin = (v[order] for v in (key, least, most, origins[origin]))
+            at, run = groups(key)
+            low = np.minimum.reduceat(least, at)[run]
+            pick = most > low
+            yield dealt(kind, bucket, origin[pick], key[pick], low[pick])
+
+    return f
+
+
+def inbox(mail, kind: int, size=np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, values) of the messages of a kind."""
+    key, value, _ = gathered([p for k, p in mail if k == kind], [size, np.int64])
+    order = np.argsort(key)
+    return key[order], value[order]
+
+
+def lookup(keys: np.ndarray, values: np.ndarray | None, wanted: np.ndarray, missing: int) -> np.ndarray:
+    """Values of the wanted keys (0 without values), or ``missing``."""
+    if not len(keys):
+        return np.full(len(wanted), missing, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, 0 if values is None else values[at], missing)

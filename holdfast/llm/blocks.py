@@ -31,9 +31,21 @@ def packed(*arrays: np.ndarray) -> bytes:
     return b"".join([np.int64(len(arrays[0])).tobytes(), *(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)])
 
 
+def short(key: np.ndarray, size: int) -> np.ndarray:
+    """The lower ``size`` bytes of 64-bit values, as rows of bytes."""
+    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
+
+
 def unpacked(payload: bytes, kinds: list) -> list[np.ndarray]:
+    """Arrays of the given kinds; a number n stands for 64-bit values of which n bytes were packed."""
     n, at, out = int(np.frombuffer(payload, np.int64, 1)[0]), 8, []
     for kind in kinds:
+        if isinstance(kind, int):
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :kind] = np.frombuffer(payload, np.uint8, n * kind, at).reshape(kind, n).T
+            out.append(wide.reshape(-1).view("<u8"))
+            at += n * kind
+            continue
         size = np.dtype(kind).itemsize
         out.append(np.frombuffer(payload, np.uint8, n * size, at).reshape(size, n).T.copy().reshape(-1).view(kind) if n else np.zeros(0, kind))
         at += n * size
@@ -44,7 +56,7 @@ def gathered(payloads: list[bytes], kinds: list) -> list[np.ndarray]:
     """The messages' arrays joined, and which message each entry is from (last)."""
     parts = [unpacked(p, kinds) for p in payloads]
     if not parts:
-        return [np.zeros(0, k) for k in kinds] + [np.zeros(0, np.int64)]
+        return [np.zeros(0, np.uint64 if isinstance(k, int) else k) for k in kinds] + [np.zeros(0, np.int64)]
     return [np.concatenate([p[i] for p in parts]) for i in range(len(kinds))] + [np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])]
 
 
@@ -76,6 +88,8 @@ class Blocks:
     def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES, least: int = LEAST):
         narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        #: Enough of a hash to tell anchors of this much text apart.
+        self.key_bytes = min(8, -(-(int(size).bit_length() + 6) // 8))
         self.count = max(least, -(-size // block_bytes))
         self.docs = narrow.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("block", F.pmod(F.xxhash64("d", "text"), F.lit(self.count)))
         self.schema = "doc_id long, text string, d long, block long"

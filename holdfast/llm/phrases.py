@@ -24,15 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .anchors import runs
-from .blocks import Blocks, dealt, gathered, groups, reduce
+from .anchors import MIXED, NONE, SHARED, announce, inbox, lookup, runs, shared_anchors, summed, window_answers
+from .blocks import Blocks, dealt, reduce
 from .textcore import SPACE, chunks, covered, hash_words, split_words, spread, texts
 
 WIDTH = 20
 GRAM = 8
 SHARD_BYTES = 1 << 20
 
-SHARED, MIXED, WINDOW = 0, 1, 2
+WINDOW = 3
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _U = np.uint64
 
@@ -45,98 +45,25 @@ def _words(table: pa.Table):
         yield c, starts, ends, offs, hash_words(c.data, starts, ends), d[c.first : c.first + c.rows]
 
 
-def summed(key: np.ndarray, d: np.ndarray, content: np.ndarray | None = None):
-    """Per distinct key: least and most d, one content, and whether contents differ."""
-    order = np.argsort(key, kind="stable")
-    key, d = key[order], d[order]
-    at, _ = groups(key)
-    if not len(key):
-        return (key, d, d) if content is None else (key, d, d, content, np.zeros(0, np.uint8))
-    out = (key[at], np.minimum.reduceat(d, at), np.maximum.reduceat(d, at))
-    if content is None:
-        return out
-    content = content[order]
-    low = np.minimum.reduceat(content, at)
-    return *out, low, (low != np.maximum.reduceat(content, at)).astype(np.uint8)
-
-
-def announce(width: int, gram: int, buckets: int, symbols):
-    """The first message of a block: its distinct anchors."""
-
-    def f(block, table):
-        a, d, r = [], [], []
-        for offs, x, doc in symbols(table):
-            text, _, _, anchor, content, _ = runs(x, offs, width, gram)
-            a.append(anchor), d.append(doc[text]), r.append(content)
-        if a:
-            key, least, most, content, mixed = summed(np.concatenate(a), np.concatenate(d), np.concatenate(r))
-            yield dealt(0, block, (key % _U(buckets)).astype(np.int64), key, least, most, content, mixed)
-
-    return f
-
-
-def shared_anchors(bucket, origins, payloads):
-    """Answers to the blocks of anchors that two documents hold: (anchor, least d) as SHARED or MIXED."""
-    key, least, most, content, mixed, origin = gathered(payloads, [_U, np.int64, np.int64, _U, np.uint8])
-    order = np.argsort(key, kind="stable")
-    key, least, most, content, mixed, origin = (v[order] for v in (key, least, most, content, mixed, origins[origin] if len(origin) else origin))
-    if not len(key):
-        return
-    at, run = groups(key)
-    low = np.minimum.reduceat(least, at)
-    shared = low < np.maximum.reduceat(most, at)
-    differ = (np.minimum.reduceat(content, at) != np.maximum.reduceat(content, at)) | (np.maximum.reduceat(mixed, at) > 0)
-    for kind, pick in ((SHARED, shared[run] & ~differ[run] & (most > low[run])), (MIXED, shared[run] & differ[run])):
-        yield dealt(kind, bucket, origin[pick], key[pick], low[run][pick])
-
-
-def inbox(mail, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys in order, values) of the messages of a kind."""
-    key, value, _ = gathered([p for k, p in mail if k == kind], [_U, np.int64])
-    order = np.argsort(key)
-    return key[order], value[order]
-
-
-def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: int) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), missing, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
-
-
-NONE = np.iinfo(np.int64).max
-
-
-def _windows(width: int, gram: int, buckets: int):
+def _windows(width: int, gram: int, buckets: int, size: int):
     """The second message: windows of runs whose anchor has several contents."""
 
     def f(block, table, mail):
-        keys, values = inbox(mail, MIXED)
+        keys = inbox(mail, MIXED, size)[0]
         w, d = [], []
         if len(keys):
             for _, _, _, offs, x, doc in _words(table):
                 text, first, n, anchor, _, window = runs(x, offs, width, gram)
-                pick = lookup(keys, np.zeros(len(keys), np.int64), anchor, 1) == 0
+                pick = lookup(keys, None, anchor >> _U(64 - 8 * size), 1) == 0
                 at = np.repeat(first[pick], n[pick]) + spread(n[pick])
                 w.append(window[at]), d.append(np.repeat(doc[text[pick]], n[pick]))
         if w:
-            key, least, most = summed(np.concatenate(w), np.concatenate(d))
+            key, least, most, _ = summed(np.concatenate(w), np.concatenate(d))
             yield dealt(0, block, (key % _U(buckets)).astype(np.int64), key, least, most)
 
     return f
 
 
-def _shared_windows(bucket, origins, payloads):
-    key, least, most, origin = gathered(payloads, [_U, np.int64, np.int64])
-    order = np.argsort(key, kind="stable")
-    key, least, most, origin = (v[order] for v in (key, least, most, origins[origin] if len(origin) else origin))
-    if len(key):
-        at, run = groups(key)
-        low = np.minimum.reduceat(least, at)[run]
-        pick = most > low
-        yield dealt(WINDOW, bucket, origin[pick], key[pick], low[pick])
-
-
 def repeats(window: np.ndarray, offs: np.ndarray, width: int) -> np.ndarray:
     """Booleans of windows whose content starts earlier in the same text."""
     later = np.zeros(len(window), bool)
@@ -216,16 +143,16 @@ def located(x: np.ndarray, offs: np.ndarray, doc: np.ndarray, least: np.ndarray,
     return gone
 
 
-def _removed(width: int, gram: int):
+def _removed(width: int, gram: int, size: int):
     def f(block, table, mail):
-        shared, window_mail, mixed = inbox(mail, SHARED), inbox(mail, WINDOW), inbox(mail, MIXED)[0]
+        shared, window_mail, mixed = inbox(mail, SHARED, size), inbox(mail, WINDOW), inbox(mail, MIXED, size)[0]
         ids = table.column("doc_id").combine_chunks() if table.num_rows else None
         for c, starts, ends, offs, x, doc in _words(table):
             text, first, n, anchor, _, window = runs(x, offs, width, gram)
             least = np.full(len(window), NONE)
             at = np.repeat(first, n) + spread(n)
-            least[at] = np.repeat(lookup(*shared, anchor, NONE), n)
-            pick = lookup(mixed, np.zeros(len(mixed), np.int64), anchor, 1) == 0
+            least[at] = np.repeat(lookup(*shared, anchor >> _U(64 - 8 * size), NONE), n)
+            pick = lookup(mixed, None, anchor >> _U(64 - 8 * size), 1) == 0
             at = np.repeat(first[pick], n[pick]) + spread(n[pick])
             least[at] = lookup(*window_mail, window[at], NONE)
             gone = located(x, offs, doc, least, repeats(window, offs, width), width)
@@ -247,9 +174,10 @@ def _symbols(table: pa.Table):
 def dedup_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     blocks = Blocks(docs)
-    first = reduce(blocks.send(announce(width, gram, blocks.count, _symbols)), shared_anchors)
-    second = reduce(blocks.answer(first, _windows(width, gram, blocks.count)), _shared_windows)
-    return blocks.answer(first.unionByName(second), _removed(width, gram), RESULT)
+    size = blocks.key_bytes
+    first = reduce(blocks.send(announce(width, gram, blocks.count, size, _symbols)), shared_anchors(size))
+    second = reduce(blocks.answer(first, _windows(width, gram, blocks.count, size)), window_answers(WINDOW))
+    return blocks.answer(first.unionByName(second), _removed(width, gram, size), RESULT)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

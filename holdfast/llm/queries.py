@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, packing, quality, simhash
+from . import decontaminate, lines, packing, phrases, quality, simhash, suffixes
 
 QUERIES = {
+    "op1_substring_dedup": phrases.op1_substring_dedup,
+    "op2_suffix_array_dedup": suffixes.op2_suffix_array_dedup,
     "op4_benchmark_decontamination": decontaminate.op4_benchmark_decontamination,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
-ORACLES = {"op4_benchmark_decontamination": decontaminate.ORACLE, "op9_line_dedup": lines.ORACLE}
+ORACLES = {
+    "op1_substring_dedup": phrases.ORACLE,
+    "op2_suffix_array_dedup": suffixes.ORACLE,
+    "op4_benchmark_decontamination": decontaminate.ORACLE,
+    "op9_line_dedup": lines.ORACLE,
+}
