@@ -27,3 +27,13 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((ROOT / "holdfast").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
     spark.sparkContext.addPyFile(name)
+
+
+def checkpointed(df):
+    """``df`` cut from its lineage in the folder that all executors share (``spark.checkpoint.dir``); a
+    private folder is set only where the session names none."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="holdfast-checkpoint-")
+        spark.sparkContext.setCheckpointDir(path)
+    return df.checkpoint()
