@@ -33,12 +33,12 @@ def parse_limit(text: Column, memory: Column | None = None) -> Column:
     share = F.when(value.between(1, 100), F.floor(value * (memory if memory is not None else F.lit(None).cast("long")) / 100))
     bytes_ = value * _factor(unit, LIMIT_UNITS).cast("decimal(12,0)")
     out = F.when(unit == "%", share.cast("decimal(38,0)")).otherwise(bytes_.cast("decimal(38,0)"))
-    return F.when(out < F.lit(2**63).cast("decimal(38,0)"), out.cast("long"))
+    return F.when(out < F.lit(str(2**63)).cast("decimal(38,0)"), out.cast("long"))
 
 
 def format_bytes(n: Column) -> Column:
     def scaled(size: int, unit: str) -> Column:
-        return F.concat(F.format_string("%.2f", n / F.lit(float(size))), F.lit(unit))
+        return F.concat(F.format_string("%.2f", F.bround(n / F.lit(float(size)), 2)), F.lit(unit))
 
     return F.when(n >= 1 << 30, scaled(1 << 30, "GiB")).when(n >= 1 << 20, scaled(1 << 20, "MiB")).when(n >= 1 << 10, scaled(1 << 10, "KiB")).otherwise(F.concat(n.cast("string"), F.lit("B")))
 

@@ -47,7 +47,7 @@ def confirmations(df: DataFrame) -> DataFrame:
     session after another and is read in order, so the window runs by archive."""
     rows = members(df)
     whose = [F.col("archive")] if "archive" in df.columns else [F.lit(0)]
-    ahead = Window.partitionBy(*whose).orderBy("member_index").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*whose).orderBy(F.desc("member_index")).rowsBetween(Window.unboundedPreceding, -1)
     place = F.min(F.when(F.col("kind") == "snapshot", F.col("member_index"))).over(ahead)
     return rows.withColumn("snapshot_index", place).where("kind = 'payload'").select("payload_id", "member_index", "snapshot_index", *(["archive"] if "archive" in df.columns else []))
 
