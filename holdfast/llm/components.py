@@ -16,11 +16,19 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Nodes for which a round's edges are kept in one file more.
+NODES_A_FILE = 200_000
+
+
+def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
     """``edges(u, v)`` of longs -> ``(node, component)`` for every node with an edge to another one;
-    component is the smallest node reachable. Self-loops and repeats don't matter; empty gives empty."""
+    component is the smallest node reachable. Self-loops and repeats don't matter; empty gives empty.
+
+    nodes: how many nodes there are at most, if known; rounds are then written in files of about
+    ``NODES_A_FILE`` nodes rather than one for every shuffle partition."""
     shared_dir(edges.sparkSession)
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    cut = lambda df: (df if nodes is None else df.coalesce(nodes // NODES_A_FILE + 1)).checkpoint()
+    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+        e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = _state(e)
         if now == state:
             break

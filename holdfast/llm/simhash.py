@@ -27,6 +27,8 @@ from .textcore import LOWER, SPACE, chunks, shared_dir, split_words, spread, tex
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
+#: A fingerprint is common if more than one row in so many has it.
+COMMON = 1000
 
 
 def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -83,13 +85,22 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     shared_dir(docs.sparkSession)
     prints = fingerprints(docs, shingle).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = links(distinct.select("fp")).checkpoint()
-    linked = components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "fp")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    found = links(distinct.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    linked = components(found, distinct.count()).withColumnRenamed("node", "fp")
     least = linked.join(distinct, "fp").groupBy("component").agg(F.min("rep").alias("component_id"))
     label = linked.join(least, "component").select("fp", "component_id")
-    named = distinct.join(label, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(label, "fp", "left").select("fp", "copies", F.coalesce("component_id", "rep").alias("component_id"))
+    return _named(prints, named).select("doc_id", "fp", "component_id")
+
+
+def _named(prints: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows with their fingerprint's component. Fingerprints of more than one row in ``COMMON`` are fewer
+    than ``COMMON``, so they are broadcast; what is left has no hot key to join on."""
+    named = named.withColumn("__hot", F.col("copies") * COMMON > prints.count())
+    hot = F.broadcast(named.where("__hot").limit(COMMON).select("fp", "component_id"))
+    rest = prints.join(F.broadcast(named.where("__hot").limit(COMMON).select("fp")), "fp", "left_anti")
+    return prints.join(hot, "fp").unionByName(rest.join(named.where("not __hot").select("fp", "component_id"), "fp"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
