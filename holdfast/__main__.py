@@ -1,4 +1,4 @@
-"""``python -m holdfast archive|extract|list|diff|sparse-copy|sparse-count``."""
+"""``python -m holdfast archive|extract|list|diff|sparse-copy|sparse-count|make-file``."""
 
 from __future__ import annotations
 
@@ -32,6 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("--restore-owner", action="store_true")
     x.add_argument("--force-scan", action="store_true")
     x.add_argument("--no-rehash", action="store_true")
+    x.add_argument("--attributes", action="store_true", help="set stored attributes and access lists")
     for s in (a, x):
         s.add_argument("--resume", action="store_true")
         s.add_argument("--fresh", action="store_true")
@@ -44,35 +45,48 @@ def _parser() -> argparse.ArgumentParser:
     c = sub.add_parser("sparse-copy", help="copy a file with holes for zero pages")
     c.add_argument("input")
     c.add_argument("output")
+    m = sub.add_parser("make-file", help="write a test file with a few dirty pages")
+    m.add_argument("output")
+    m.add_argument("--size", default="1Mib")
+    m.add_argument("--dirty", type=int, default=1)
+    m.add_argument("--seed", type=int, default=0)
     n = sub.add_parser("sparse-count", help="count full zero pages of a file")
     n.add_argument("input")
-    for s in (c, n):
+    for s in (c, n, m):
         s.add_argument("-b", "--block-size", type=int, default=4096)
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     o = _parser().parse_args(argv)
-    from .operators.sparse import inspect, read_chunks, sparse_copy
+    from .functions.units import size_of
+    from .operators.sparse import inspect, make_file, read_chunks, sparse_copy
 
     if o.command == "sparse-copy":
         print(sparse_copy(o.input, o.output, o.block_size))
         return 0
+    if o.command == "make-file":
+        make_file(o.output, size_of(o.size), o.block_size, o.dirty, o.seed)
+        return 0
     if o.command == "sparse-count":
         print(inspect(read_chunks(o.input), o.block_size)[2])
         return 0
     from pyspark.sql import SparkSession
 
     from .plans import runner
+    from .plans.shutdown import Shutdown
 
     spark = SparkSession.builder.appName("holdfast").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if o.command == "archive":
         if o.bzip_small and o.level not in (None, 1):
             raise SystemExit("--bzip-small means level 1")
-        done = runner.archive(spark, runner.ArchiveOptions(root=o.input, archive=o.file, work=o.work, compression=o.compression or suffix_format(o.file), level=1 if o.bzip_small else o.level, extreme=o.xz_extreme, page_size=o.page_size, min_pages=o.min_pages, include=o.include, exclude=o.exclude, attributes=o.attributes, resume=o.resume, fresh=o.fresh, keep_work=o.keep_work, stop_after=o.exit_after_stage))
+        with Shutdown(spark) as stop:
+            done = runner.archive(spark, runner.ArchiveOptions(root=o.input, archive=o.file, work=o.work, compression=o.compression or suffix_format(o.file), level=1 if o.bzip_small else o.level, extreme=o.xz_extreme, page_size=o.page_size, min_pages=o.min_pages, include=o.include, exclude=o.exclude, attributes=o.attributes, resume=o.resume, fresh=o.fresh, keep_work=o.keep_work, stop_after=o.exit_after_stage), stop)
         print(done)
     elif o.command == "extract":
-        for note in runner.extract(spark, runner.ExtractOptions(archive=o.file, output=o.output, force=o.force_scan, rehash=not o.no_rehash, restore_owner=o.restore_owner, resume=o.resume, fresh=o.fresh, keep_work=o.keep_work)):
+        with Shutdown(spark) as stop:
+            notes = runner.extract(spark, runner.ExtractOptions(archive=o.file, output=o.output, force=o.force_scan, rehash=not o.no_rehash, restore_owner=o.restore_owner, restore_attributes=o.attributes, resume=o.resume, fresh=o.fresh, keep_work=o.keep_work), stop)
+        for note in notes:
             print(note, file=sys.stderr)
     elif o.command == "list":
         for r in runner.list_archive(spark, o.file).orderBy("rel_path").toLocalIterator():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,16 @@ SIZE_UNITS = {"": 1, "b": 1, "kb": 10**3, "mb": 10**6, "gb": 10**9, "kib": 1 <<
 LIMIT_UNITS = {"": 1, "K": 10**3, "M": 10**6, "G": 10**9, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30}
 
 
+def size_of(text: str) -> int:
+    """:func:`parse_size` for one value; malformed text is an error."""
+    import re
+
+    m = re.fullmatch(r"\s*([0-9]+(?:\.[0-9]+)?)\s*([A-Za-z]*)\s*", text)
+    if not m or m[2].lower() not in SIZE_UNITS:
+        raise ValueError(f"malformed size {text!r}")
+    return int(Decimal(m[1]) * SIZE_UNITS[m[2].lower()] + Decimal("0.5"))
+
+
 def _factor(unit: Column, table: dict[str, int]) -> Column:
     out = F
     for name, value in table.items():

@@ -11,12 +11,12 @@ from .predicates import in_phase, is_file, is_self_canonical
 
 
 def restore_plan(files: DataFrame, phases: tuple[str, ...] = ("unarchived", "rehashed")) -> DataFrame:
-    """(id, rel_path, canonical_id, member, size, mtime, mode, uid, gid, safe) of every file to place; copies
+    """(id, rel_path, canonical_id, member, size, mtime, mode, uid, gid, xattr, acl, safe) of every file to place; copies
     find the payload of their canonical."""
     payloads = files.where(is_self_canonical() & is_file()).select(F.col("id").alias("__c"), member_name().alias("member"))
     wanted = files.where(in_phase(*phases) & is_file())
     joined = wanted.join(payloads, F.col("canonical_id") == F.col("__c"))
-    return joined.select("id", "rel_path", "canonical_id", "member", "size", "mtime", "mode", "uid", "gid", is_safe(F.col("rel_path")).alias("safe"))
+    return joined.select("id", "rel_path", "canonical_id", "member", "size", "mtime", "mode", "uid", "gid", "xattr", "acl", is_safe(F.col("rel_path")).alias("safe"))
 
 
 def without_payload(files: DataFrame, phases: tuple[str, ...] = ("unarchived", "rehashed")) -> DataFrame:

@@ -164,3 +164,16 @@ def sparse_copies(df: DataFrame, page: int = PAGE) -> DataFrame:
 
 
 _COPIES = pa.schema([("id", pa.int64()), ("ok", pa.bool_()), ("size_in", pa.int64()), ("size_out", pa.int64()), ("bytes_saved", pa.int64()), ("zero_blocks", pa.int64()), ("error", pa.string())])
+
+
+def make_file(path: str, size: int, page: int = PAGE, dirty: int = 1, seed: int = 0) -> None:
+    """A file of ``size`` bytes of which ``dirty`` whole pages, drawn by the seed, hold non-zero bytes."""
+    pages = size // page
+    if not 0 <= dirty <= pages:
+        raise ValueError(f"{dirty} dirty pages of {pages}")
+    rng = np.random.default_rng(seed)
+    with open(path, "wb") as f:
+        f.truncate(size)
+        for k in sorted(rng.choice(pages, dirty, replace=False).tolist()) if dirty else []:
+            f.seek(k * page)
+            f.write(rng.integers(1, 256, page, dtype=np.uint8).tobytes())

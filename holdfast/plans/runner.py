@@ -26,7 +26,8 @@ from ..operators.scan import ScanError, ScanState, completeness, outcome
 from ..schema import ARCHIVE_STEPS, EXTRACT_STEPS, MANIFEST, SNAPSHOT, STRIPPED
 from ..session import ship
 from ..sources import archive as ar
-from ..sources.tree import read_tree
+from ..sources.tree import read_tree, restore_attributes
+from .shutdown import Shutdown
 from . import start
 
 
@@ -94,8 +95,8 @@ class ArchiveOptions:
     stop_after: str | None = None
 
 
-def archive(spark: SparkSession, o: ArchiveOptions) -> str:
-    """Archive a tree; returns 'done' or the step after which it stopped."""
+def archive(spark: SparkSession, o: ArchiveOptions, shutdown: Shutdown | None = None) -> str:
+    """Archive a tree; returns 'done' or the step after which it stopped (by option or on request)."""
     ship(spark)
     work = _Work(o.work or o.archive + ".astage")
     saved = work.state()
@@ -116,7 +117,7 @@ def archive(spark: SparkSession, o: ArchiveOptions) -> str:
             version, done = step, step
             step = ARCHIVE_STEPS[ARCHIVE_STEPS.index(step) + 1]
             work.save(step=step, version=version)
-            if o.stop_after == done and step != "done":
+            if step != "done" and (o.stop_after == done or (shutdown and shutdown.requested)):
                 return done
     if not o.keep_work:
         work.wipe()
@@ -186,12 +187,13 @@ class ExtractOptions:
     rehash: bool = True
     restore_owner: bool = False
     restore_mode: bool = True
+    restore_attributes: bool = False
     resume: bool = False
     fresh: bool = False
     keep_work: bool = False
 
 
-def extract(spark: SparkSession, o: ExtractOptions) -> list[str]:
+def extract(spark: SparkSession, o: ExtractOptions, shutdown: Shutdown | None = None) -> list[str]:
     """Restore a tree; returns warnings."""
     ship(spark)
     work = _Work(o.work or o.output.rstrip("/") + ".estage")
@@ -209,6 +211,8 @@ def extract(spark: SparkSession, o: ExtractOptions) -> list[str]:
             work.keep(_EXTRACT[step](spark, o, work, files, notes), step)
             version, step = step, EXTRACT_STEPS[EXTRACT_STEPS.index(step) + 1]
             work.save(step=step, version=version)
+            if shutdown and shutdown.requested and step != "cleanup":
+                return [*notes, f"stopped before {step}; resume to go on"]
         work.save(step="done", version=version)
     if not o.keep_work:
         work.wipe()
@@ -282,7 +286,7 @@ def _rehash(spark, o, work, files, notes):
 
 def _place(spark, o, work, files, notes):
     """Directories, files and links under the output folder, by the executors."""
-    owner, mode, output, cache = o.restore_owner, o.restore_mode, o.output, work.path("cache")
+    owner, mode, extra, output, cache = o.restore_owner, o.restore_mode, o.restore_attributes, o.output, work.path("cache")
     os.makedirs(output, exist_ok=True)
     plan = restore_plan(files)
     unsafe = plan.where(~F.col("safe")).count()
@@ -302,6 +306,8 @@ def _place(spark, o, work, files, notes):
                 os.chown(target + ".part", r.uid, r.gid if r.gid is not None else -1)
             if mode and r.mode is not None:
                 os.chmod(target + ".part", r.mode & 0o7777)
+            if extra:
+                restore_attributes(target + ".part", r.xattr, r.acl)
             if r.mtime is not None:
                 t = r.mtime.timestamp()
                 os.utime(target + ".part", (t, t))

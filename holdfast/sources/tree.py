@@ -12,6 +12,7 @@ import base64
 import json
 import os
 import stat
+import struct
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -23,8 +24,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.paths import extension
 from ..schema import conform
 
-SCHEMA = "rel_path string, size long, mtime timestamp, atime timestamp, ctime timestamp, uid long, gid long, mode long, ftype string, xattr string, selinux binary, link_dst string"
-_ARROW = pa.schema([("rel_path", pa.string()), ("size", pa.int64()), *((n, pa.timestamp("us", "UTC")) for n in ("mtime", "atime", "ctime")), ("uid", pa.int64()), ("gid", pa.int64()), ("mode", pa.int64()), ("ftype", pa.string()), ("xattr", pa.string()), ("selinux", pa.binary()), ("link_dst", pa.string())])
+SCHEMA = "rel_path string, size long, mtime timestamp, atime timestamp, ctime timestamp, uid long, gid long, mode long, ftype string, xattr string, acl string, selinux binary, link_dst string"
+#: Tags of access list entries in the attribute that holds them.
+ACL_TAGS = {1: "user-obj", 2: "user", 4: "group-obj", 8: "group", 16: "mask", 32: "other"}
+ACL_NAME = "system.posix_acl_access"
+_ARROW = pa.schema([("rel_path", pa.string()), ("size", pa.int64()), *((n, pa.timestamp("us", "UTC")) for n in ("mtime", "atime", "ctime")), ("uid", pa.int64()), ("gid", pa.int64()), ("mode", pa.int64()), ("ftype", pa.string()), ("xattr", pa.string()), ("acl", pa.string()), ("selinux", pa.binary()), ("link_dst", pa.string())])
 BATCH = 2048
 
 
@@ -57,14 +61,52 @@ def link_kind(path: str) -> str:
             return "unknown"
 
 
-def _attributes(path: str) -> tuple[str | None, bytes | None]:
-    """User attributes as JSON with base64 keys and values, and the security context."""
+def parse_acl(raw: bytes) -> dict[str, int]:
+    """Permission bits by qualifier of a binary access list (version 2)."""
+    out, undefined = {}, 0
+    for tag, perm, number in struct.iter_unpack("<HHI", raw[4 : 4 + (len(raw) - 4) // 8 * 8]):
+        name = ACL_TAGS.get(tag)
+        if name is None:
+            name, undefined = f"undefined-{undefined}", undefined + 1
+        out[f"{name}:{number}" if name in ("user", "group") else name] = perm
+    return out
+
+
+def build_acl(entries: dict[str, int]) -> bytes:
+    """:func:`parse_acl` undone; undefined entries can't be set and are left out."""
+    tags, out = {v: k for k, v in ACL_TAGS.items()}, []
+    for name, perm in entries.items():
+        kind, _, number = name.partition(":")
+        if kind in tags:
+            out.append((tags[kind], perm, int(number) if number else 0xFFFFFFFF))
+    return struct.pack("<I", 2) + b"".join(struct.pack("<HHI", *e) for e in sorted(out))
+
+
+def restore_attributes(path: str, xattr: str | None, acl: str | None) -> list[str]:
+    """Set stored attributes and access list; returns the names that could not be set."""
+    failed = []
+    stored = json.loads(xattr) if xattr else {"data": {}}
+    plain = (lambda t: base64.b64decode(t)) if stored.get("encoding") == "base64" else (lambda t: t.encode())
+    values = {plain(k).decode(): plain(v) for k, v in stored["data"].items()}
+    if acl:
+        values[ACL_NAME] = build_acl(json.loads(acl))
+    for name, value in values.items():
+        try:
+            os.setxattr(path, name, value, follow_symlinks=False)
+        except OSError:
+            failed.append(name)
+    return failed
+
+
+def _attributes(path: str) -> tuple[str | None, str | None, bytes | None]:
+    """User attributes as JSON with base64 keys and values, the access list as JSON by qualifier, and the
+    security context."""
     try:
         names = os.listxattr(path, follow_symlinks=False)
     except OSError:
-        return None, None
+        return None, None, None
     code = lambda b: base64.b64encode(b).decode()
-    data, context = {}, None
+    data, acl, context = {}, None, None
     for name in names:
         try:
             value = os.getxattr(path, name, follow_symlinks=False)
@@ -73,7 +115,9 @@ def _attributes(path: str) -> tuple[str | None, bytes | None]:
         data[code(name.encode())] = code(value)
         if name == "security.selinux":
             context = value
-    return json.dumps({"encoding": "base64", "data": data}, sort_keys=True), context
+        if name == ACL_NAME:
+            acl = json.dumps(parse_acl(value), sort_keys=True)
+    return json.dumps({"encoding": "base64", "data": data}, sort_keys=True), acl, context
 
 
 def entry(root: str, path: str, attributes: bool = False) -> dict | None:
@@ -83,7 +127,7 @@ def entry(root: str, path: str, attributes: bool = False) -> dict | None:
         return None
     time = lambda ns: datetime.fromtimestamp(ns // 10**9, timezone.utc).replace(microsecond=ns % 10**9 // 1000)
     rel = os.path.relpath(path, root)
-    row = {"rel_path": "" if rel == "." else rel, "size": s.st_size, "mtime": time(s.st_mtime_ns), "atime": time(s.st_atime_ns), "ctime": None, "uid": s.st_uid, "gid": s.st_gid, "mode": s.st_mode, "link_dst": None, "xattr": None, "selinux": None}
+    row = {"rel_path": "" if rel == "." else rel, "size": s.st_size, "mtime": time(s.st_mtime_ns), "atime": time(s.st_atime_ns), "ctime": None, "uid": s.st_uid, "gid": s.st_gid, "mode": s.st_mode, "link_dst": None, "xattr": None, "acl": None, "selinux": None}
     row["rel_path"] = row["rel_path"].encode("utf-8", "surrogateescape").decode("utf-8", "replace")
     if stat.S_ISLNK(s.st_mode):
         row["ftype"] = "symlink_" + link_kind(path)
@@ -96,7 +140,7 @@ def entry(root: str, path: str, attributes: bool = False) -> dict | None:
     if hasattr(s, "st_birthtime_ns"):
         row["ctime"] = time(s.st_birthtime_ns)
     if attributes:
-        row["xattr"], row["selinux"] = _attributes(path)
+        row["xattr"], row["acl"], row["selinux"] = _attributes(path)
     return row
 
 

@@ -174,3 +174,43 @@ def test_command_line(root, tmp_path, capsys):
     assert (suffix_format("A.TAR.XZ"), suffix_format("x.tgz"), suffix_format("x")) == ("xz", "gzip", "none")
     with pytest.raises(SystemExit):
         main(["--help"])
+
+
+def test_attributes(tmp_path):
+    entries = {"user-obj": 6, "user:1000": 4, "group-obj": 4, "mask": 4, "other": 0}
+    assert tree.parse_acl(tree.build_acl(entries)) == entries
+    p = tmp_path / "a"
+    p.write_bytes(b"x")
+    try:
+        os.setxattr(p, "user.note", b"\xff1")
+    except OSError:
+        pytest.skip("no user attributes here")
+    row = tree.entry(str(tmp_path), str(p), attributes=True)
+    q = tmp_path / "b"
+    q.write_bytes(b"x")
+    assert tree.restore_attributes(str(q), row["xattr"], row["acl"]) == [] and os.getxattr(q, "user.note") == b"\xff1"
+
+
+def test_shutdown_stops_between_steps(spark, root, tmp_path):
+    from holdfast.plans.shutdown import Shutdown
+
+    stop = Shutdown(spark)
+    stop.request()
+    assert stop.requested and not stop.forced
+    o = runner.ArchiveOptions(root=root, archive=str(tmp_path / "x.tar"), compression="none")
+    assert runner.archive(spark, o, stop) == "inventory"
+    assert runner.archive(spark, o) == "done"
+
+
+def test_made_files(tmp_path):
+    from holdfast.__main__ import main
+    from holdfast.functions.units import size_of
+
+    p = str(tmp_path / "m")
+    assert main(["make-file", p, "--size", "64Kib", "--dirty", "3", "-b", "1024"]) == 0
+    from holdfast.operators.sparse import inspect, read_chunks
+
+    assert inspect(read_chunks(p), 1024)[1:3] == (65536, 61)
+    assert [size_of(x) for x in ("4096", "1Kb", "2.5Kib")] == [4096, 1000, 2560]
+    with pytest.raises(ValueError):
+        size_of("x")

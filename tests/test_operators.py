@@ -206,3 +206,12 @@ def test_misplaced_members(spark):
 def test_labels(spark):
     files = catalog(spark, [{"id": i, "rel_path": str(i), "size": 1, "phase": p} for i, p in enumerate([*PHASES, "odd"])])
     assert [r.phase for r in unknown_labels(files).collect()] == ["odd"]
+
+
+def test_lookup(spark, tmp_path):
+    from holdfast.operators import lookup
+
+    assert lookup.open_catalog(spark, str(tmp_path / "none")).count() == 0
+    files = catalog(spark, [{"id": i, "rel_path": str(i), "size": 1, "phase": "staged" if i % 2 else "hashed"} for i in (3, 1, 2)])
+    assert lookup.by_id(files, 2).count() == 1 and lookup.count(files) == 3 and lookup.count(files, "staged") == 2
+    assert [r.id for r in lookup.in_order(files, "staged").collect()] == [1, 3] and len(lookup.in_order(files, "staged").columns) == 12
