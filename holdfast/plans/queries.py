@@ -112,13 +112,13 @@ def format_units(spark, d):
     return rows.select("id", units.format_bytes(F.col("n")).alias("bytes"), units.format_duration(F.col("s")).alias("duration"), units.format_mib(F.col("n")).alias("mib"), units.truncate_middle(F.col("rel_path"), 13).alias("short"))
 
 
-@query("select event_id, map_from_entries([(event_type, cast(user_id as varchar))]) attrs, cast(user_id % 8 as integer) perm, user_id owner from events where event_id % 3 = 0")
+@query("select event_id, event_type attribute, cast(user_id as varchar) value, cast(user_id % 8 as integer) perm, user_id owner from events where event_id % 3 = 0")
 def attribute_json(spark, d):
     """Attributes and access lists written as JSON and read back."""
     e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 3 = 0")
     stored = e.select("event_id", attributes.dump_xattrs(F.create_map("event_type", F.col("user_id").cast("string"))).alias("x"), F.to_json(F.create_map(F.concat(F.lit("user:"), F.col("user_id").cast("string")), (F.col("user_id") % 8).cast("int"))).alias("a"))
     read = stored.select("event_id", attributes.xattrs(F.col("x")).alias("attrs"), attributes.acl_entries(F.col("a"))[0].alias("e"))
-    return read.select("event_id", "attrs", F.col("e.permissions").alias("perm"), F.col("e.identifier").alias("owner"))
+    return read.select("event_id", F.map_keys("attrs")[0].alias("attribute"), F.map_values("attrs")[0].alias("value"), F.col("e.permissions").alias("perm"), F.col("e.identifier").alias("owner"))
 
 
 # -- flags and updates ----------------------------------------------------------------------------

@@ -22,7 +22,7 @@ from ..operators import sparse as sp
 from ..operators import transitions as tr
 from ..operators.predicates import in_phase, is_file, sparsify_candidate
 from ..operators.restore import restore_plan, stage_plan
-from ..operators.scan import ScanError, ScanState, completeness, outcome
+from ..operators.scan import ScanError, ScanState, completeness, members, outcome
 from ..schema import ARCHIVE_STEPS, EXTRACT_STEPS, MANIFEST, SNAPSHOT, STRIPPED
 from ..session import ship
 from ..sources import archive as ar
@@ -163,8 +163,9 @@ def _archive(spark, o, work, files):
     writer = ar.ArchiveWriter(o.archive, o.compression, o.level, o.extreme)
     try:
         writer.add_catalog(ar.write_catalog(files, work.path(MANIFEST)), first=True)
-        written = list(ar.write_members(writer, plan.toLocalIterator()))
-        done = tr.archive_remainder(tr.archive_appended(tr.mark_appended(files, spark.createDataFrame([(i,) for i in written], "id long"))))
+        for _ in ar.write_members(writer, plan.toLocalIterator()):
+            pass
+        done = tr.archive_remainder(tr.archive_appended(tr.mark_appended(files, plan.select("id"))))
         writer.add_catalog(ar.write_catalog(done, work.path(SNAPSHOT)), first=False)
         writer.close(last=True)
     except BaseException:
@@ -226,35 +227,38 @@ def _scan(spark, o, work, files, notes):
     if ar.has_footer(o.archive):
         ar.read_footer(o.archive, work.path("footer.sqlite"))
         catalog, state = work.path("footer.sqlite"), ScanState(from_footer=True)
-    extracted: list[int] = []
     snapshots: list[tuple[int, str]] = []
-    for m in ar.read_members(o.archive):
-        name, index = os.path.basename(os.path.normpath(m["name"])), m["member_index"]
-        kind = "manifest" if name == MANIFEST else "snapshot" if name == SNAPSHOT else "payload"
-        if kind == "manifest" and state.saw_any:
-            raise ScanError("the manifest is not the first member")
-        if not state.saw_any and kind != "manifest" and not o.force:
-            raise ScanError(f"the first member is {name}, no manifest")
-        target = work.path("cache", name) if kind == "payload" else work.path(f"{kind}-{index}.sqlite")
-        with open(target, "wb") as f:
-            f.write(m["content"] or b"")
-        if kind != "payload" and catalog is None:
-            catalog = target
-        if kind == "snapshot":
-            snapshots.append((len(extracted), target))
-        if kind == "payload":
-            extracted.append(_payload_id(spark, name))
-        state = state.seen(index, kind)
+    with ar.MemberIndex(work.path("members.parquet")) as seen:
+        for m in ar.read_members(o.archive):
+            name, index = os.path.basename(os.path.normpath(m["name"])), m["member_index"]
+            kind = "manifest" if name == MANIFEST else "snapshot" if name == SNAPSHOT else "payload"
+            if kind == "manifest" and state.saw_any:
+                raise ScanError("the manifest is not the first member")
+            if not state.saw_any and kind != "manifest" and not o.force:
+                raise ScanError(f"the first member is {name}, no manifest")
+            target = work.path("cache", name) if kind == "payload" else work.path(f"{kind}-{index}.sqlite")
+            with open(target, "wb") as f:
+                f.write(m["content"] or b"")
+            if kind != "payload" and catalog is None:
+                catalog = target
+            if kind == "snapshot":
+                snapshots.append((index, target))
+            seen.add(index, m["name"])
+            state = state.seen(index, kind)
     if catalog is None:
         raise ScanError("no catalog in the archive")
     said = outcome(state)
     if not said.startswith("complete"):
         notes.append(said)
     files = tr.normalise_installed(ar.read_catalog(spark, catalog))
-    for count, path in snapshots:
-        done = spark.createDataFrame([(i,) for i in extracted[:count]], "id long")
-        files, _ = tr.confirm_snapshot(tr.mark_extracted(files, done), ar.read_catalog(spark, path))
-    files = tr.mark_extracted(files, spark.createDataFrame([(i,) for i in extracted], "id long"))
+    payloads = members(spark.read.parquet(work.path("members.parquet")))
+    odd = payloads.where("kind = 'other'").select("name").first()
+    if odd:
+        raise ScanError(f"{odd.name} is neither a catalog nor a content id")
+    payloads = payloads.where("kind = 'payload'").select("member_index", F.col("payload_id").alias("id"))
+    for index, path in snapshots:
+        files, _ = tr.confirm_snapshot(tr.mark_extracted(files, payloads.where(F.col("member_index") < index)), ar.read_catalog(spark, path))
+    files = tr.mark_extracted(files, payloads)
     if state.from_footer or o.force:
         files = tr.salvage(files)
     files = work.keep(files, "scanned")
@@ -262,17 +266,6 @@ def _scan(spark, o, work, files, notes):
     return files
 
 
-def _payload_id(spark, name: str) -> int:
-    """The id in a member name."""
-    import base64
-    import re
-
-    m = re.fullmatch(r"(?:sp\.)?(?:[A-Za-z0-9_-]{27}|;{27})\.[A-Za-z0-9_-]{11}\.([A-Za-z0-9_-]{11})(?:\..+)?", name)
-    if not m:
-        raise ScanError(f"{name} is neither a catalog nor a content id")
-    return int.from_bytes(base64.urlsafe_b64decode(m[1] + "="), "little", signed=True)
-
-
 def _rehash(spark, o, work, files, notes):
     if not o.rehash:
         return files
