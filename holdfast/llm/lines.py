@@ -45,13 +45,13 @@ def line_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 def windows(data: np.ndarray, offs: np.ndarray, width: int):
     """First lines of the windows with two 64-bit hashes each; the line offsets and bounds."""
     starts, ends, line_offs = line_bounds(data, offs)
-    h = hash_words(data, starts, ends)
+    h, other = hash_words(data, starts, ends), hash_words(data, starts, ends, 1)
     ink = np.concatenate([[0], np.cumsum(~SPACE[data])])
     full = np.concatenate([[0], np.cumsum(ink[ends] > ink[starts])])
     at = np.flatnonzero(full[width:] > full[:-width]) if len(full) > width else np.zeros(0, np.int64)
     text = np.searchsorted(line_offs, at, "right") - 1
     at = at[at + width <= line_offs[text + 1]] if len(at) else at
-    one, two = mix(roll(h, width)), mix(roll(mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), width))
+    one, two = mix(roll(h, width)), mix(roll(other, width))
     return at, one[at], two[at], line_offs, starts, ends
 
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ CHUNK_BYTES = 1 << 21
 ARROW_ROWS = 1000
 ARROW_BYTES = "16m"
 
+#: Ranges up to this length are hashed without a call of their own.
+LONG = 128
+
 _U = np.uint64
 _K1, _K2, _BASE = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), 0x9E3779B97F4A7C15 | 1
 
@@ -101,24 +105,29 @@ def split_words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offs)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, eight bytes at a time for all ranges at once."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes at a time for all ranges at once, up to ``LONG`` bytes;
+    what is left of longer ranges is hashed range by range."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(data) + 1,), "<u8", buffer=padded.data, strides=(1,))
     size = ends - starts
-    h = mix(size.astype(_U) * _U(_BASE))
-    at, left, live = starts, size, None
-    while len(at):
-        lane = lanes[at]
-        short = np.minimum(left, 8).astype(_U)
-        lane = lane & (~_U(0) >> ((_U(8) - short) << _U(3)))
+    h = mix(size.astype(_U) * _U(_BASE) + _U(seed))
+    live, at, left = None, starts, size
+    for done in range(0, LONG, 8):
+        if not len(at):
+            return h
+        lane = lanes[at] & (~_U(0) >> ((_U(8) - np.minimum(left, 8).astype(_U)) << _U(3)))
         if live is None:
             h = mix(h ^ lane)
-            live = np.flatnonzero(left > 8)
+            live = np.flatnonzero(size > 8)
         else:
             h[live] = mix(h[live] * _U(_BASE) ^ lane)
             live = live[left > 8]
-        at, left = starts[live] + (size[live] - (left[left > 8] - 8)), left[left > 8] - 8
+        at, left = starts[live] + done + 8, size[live] - done - 8
+    if len(live):
+        raw = data.tobytes()
+        rest = [xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(at.tolist(), ends[live].tolist())]
+        h[live] = mix(h[live] * _U(_BASE) ^ np.array(rest, _U))
     return h
 
 
