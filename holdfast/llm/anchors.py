@@ -76,19 +76,35 @@ def announce(width: int, gram: int, buckets: int, size: int, symbols):
             a.append(anchor >> _U(64 - 8 * size)), d.append(doc[text]), r.append(content >> _U(64 - 8 * CONTENT))
         if a:
             key, least, most, n, content, mixed = summed(np.concatenate(a), np.concatenate(d), np.concatenate(r))
-            yield dealt(0, block, (key % _U(buckets)).astype(np.int64), short(key, size), least, most - least, n.astype(np.int32), short(content, CONTENT), mixed)
+            target = (key % _U(buckets)).astype(np.int64)
+            # a bucket knows its remainder, and ordered documents differ by little: fewer bytes move
+            order = np.lexsort((least, target))
+            target, least = target[order], least[order]
+            step = np.diff(least, prepend=0)
+            begin, _ = groups(target)
+            step[begin] = least[begin]
+            yield dealt(0, block, target, short((key // _U(buckets))[order], quotient(size, buckets)), step, (most[order] - least), n[order].astype(np.int32), short(content[order], CONTENT), mixed[order])
 
     return f
 
 
-def shared_anchors(size: int, hot: int = NONE):
+def quotient(size: int, buckets: int) -> int:
+    """Bytes of a key of ``size`` bytes divided by the number of buckets."""
+    return max(1, -(-(8 * size - (buckets.bit_length() - 1)) // 8))
+
+
+def shared_anchors(size: int, buckets: int, hot: int = NONE):
     """Answers to blocks about anchors that two documents hold: (key, least d) as SHARED to the blocks of
     later documents, or MIXED to all (MANY beyond ``hot`` runs)."""
 
     def f(bucket, origins, payloads):
-        key, least, span, n, content, mixed, origin = gathered(payloads, [size, np.int64, np.int64, np.int32, CONTENT, np.uint8])
+        key, step, span, n, content, mixed, origin = gathered(payloads, [quotient(size, buckets), np.int64, np.int64, np.int32, CONTENT, np.uint8])
         if not len(key):
             return
+        key = key * _U(buckets) + _U(bucket)
+        begin, run = groups(origin)
+        total = np.cumsum(step)
+        least = total - (total - step)[begin][run]
         order = np.argsort(key, kind="stable")
         key, least, most, n, content, mixed, origin = (v[order] for v in (key, least, least + span, n, content, mixed, origins[origin]))
         at, run = groups(key)

@@ -175,7 +175,7 @@ def dedup_phrases(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Data
     """Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
     blocks = Blocks(docs)
     size = blocks.key_bytes
-    first = reduce(blocks.send(announce(width, gram, blocks.count, size, _symbols)), shared_anchors(size))
+    first = reduce(blocks.send(announce(width, gram, blocks.count, size, _symbols)), shared_anchors(size, blocks.count))
     second = reduce(blocks.answer(first, _windows(width, gram, blocks.count, size)), window_answers(WINDOW))
     return blocks.answer(first.unionByName(second), _removed(width, gram, size), RESULT)
 

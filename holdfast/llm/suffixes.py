@@ -226,7 +226,7 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
     blocks = Blocks(docs)
     size = blocks.key_bytes
-    first = reduce(blocks.send(announce(width, gram, blocks.count, size, _symbols)), shared_anchors(size, hot))
+    first = reduce(blocks.send(announce(width, gram, blocks.count, size, _symbols)), shared_anchors(size, blocks.count, hot))
     second = reduce(blocks.answer(first, _segments(width, gram, blocks.count, size)), classes(width, blocks.count))
     return blocks.answer(first.unionByName(second), _removed(width, gram, size), RESULT)
 
