@@ -28,9 +28,9 @@ ROUNDS = 8
 KEY = "holdfast-demonstration-key"
 
 #: The shapes of candidates. Alternatives are tried in this order at each place.
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+MAIL = r"[\p{L}0-9][\p{L}0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 KEY_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?<=password=)[A-Za-z0-9]{8,64}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9a-f]{40}(?![A-Za-z0-9])"
+SECRET = r"(?:password|PASSWORD)=[A-Za-z0-9]{8,64}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
@@ -116,30 +116,50 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), value), F.lit(0), lambda a, x: F.when(x > 9, a * 100 + x).otherwise(a * 10 + x) % 97)
 
 
-def _classes(chars: Column) -> tuple[Column, Column]:
-    """Symbols and radixes of alphanumeric characters, each within its class."""
-    upper, lower = lambda c: c.rlike("[A-Z]"), lambda c: c.rlike("[a-z]")
-    symbols = F.transform(chars, lambda c: F.when(upper(c), F.ascii(c) - 65).when(lower(c), F.ascii(c) - 97).otherwise(F.ascii(c) - 48))
-    radix = F.transform(chars, lambda c: F.when(upper(c) | lower(c), F.lit(26)).otherwise(F.lit(10)))
-    return symbols, radix
+#: Alphabets of letters and digits: pattern, first code point, radix, and a code point to step over.
+ALPHABETS = [("[0-9]", 48, 10, None), ("[A-Z]", 65, 26, None), ("[a-z]", 97, 26, None), ("[À-ÖØ-Þ]", 0xC0, 30, 0xD7), ("[à-öø-ÿ]", 0xE0, 31, 0xF7)]
+ALNUM = "[A-Za-z0-9À-ÖØ-öø-ÿ]"
 
 
 def _alphanumeric(s: Column, key: str, kind: str) -> Column:
-    """Letters and digits permuted within their classes; other characters stay."""
+    """Letters and digits permuted within their alphabets; other characters stay."""
+
+    def symbol(c: Column) -> Column:
+        out = F
+        for pattern, first, _, gap in ALPHABETS:
+            at = F.ascii(c) - first
+            out = out.when(c.rlike(pattern), at if gap is None else at - F.when(F.ascii(c) > gap, 1).otherwise(0))
+        return out.otherwise(0)
+
+    def radix(c: Column) -> Column:
+        out = F
+        for pattern, _, size, _ in ALPHABETS:
+            out = out.when(c.rlike(pattern), F.lit(size))
+        return out.otherwise(1)
+
+    def back(c: Column, x: Column) -> Column:
+        out = F
+        for pattern, first, _, gap in ALPHABETS:
+            at = x + first
+            out = out.when(c.rlike(pattern), F.char(at if gap is None else at + F.when(at >= gap, 1).otherwise(0)))
+        return out.otherwise(c)
 
     def body(chars: Column) -> Column:
-        symbols, radix = _classes(chars)
-        moved = feistel(symbols, radix, key, kind)
-        return F.array_join(F.zip_with(chars, moved, lambda c, x: F.char(F.when(c.rlike("[A-Z]"), x + 65).when(c.rlike("[a-z]"), x + 97).otherwise(x + 48))), "")
+        return F.array_join(F.zip_with(chars, feistel(F.transform(chars, symbol), F.transform(chars, radix), key, kind), back), "")
 
-    plain = F.regexp_replace(s, "[^A-Za-z0-9]", "")
-    return _refill(s, _let(F.filter(F.split(plain, ""), lambda c: c != ""), body), "[A-Za-z0-9]")
+    plain = F.regexp_replace(s, "[^A-Za-z0-9À-ÖØ-öø-ÿ]", "")
+    return _refill(s, _let(F.filter(F.split(plain, ""), lambda c: c != ""), body), ALNUM)
 
 
 def _hex(s: Column, key: str) -> Column:
     chars = F.filter(F.split(s, ""), lambda c: c != "")
     moved = feistel(F.transform(chars, lambda c: F.conv(c, 16, 10).cast("int")), F.transform(chars, lambda c: F.lit(16)), key, "hex")
-    return F.array_join(F.transform(moved, lambda x: F.lower(F.conv(x.cast("string"), 10, 16))), "")
+    out = F.array_join(F.transform(moved, lambda x: F.conv(x.cast("string"), 10, 16)), "")
+    return F.when(s.rlike("[a-f]"), F.lower(out)).otherwise(out)
+
+
+def _secret(v: Column, key: str) -> Column:
+    return F.when(v.rlike("^([0-9a-f]+|[0-9A-F]+)$"), _hex(v, key)).otherwise(_alphanumeric(v, key, "secret"))
 
 
 def _iban(v: Column, key: str) -> Column:
@@ -158,20 +178,21 @@ def _iban_ok(v: Column) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    """The last ten digits; area and exchange begin with 2 to 9."""
+    """The last ten digits; the first digits of area and exchange stay among 0 and 1, or 2 to 9."""
     def body(d: Column) -> Column:
         lead = lambda i: (i == 0) | (i == 3)
         own = _ints(F.substr(d, F.length(d) - 9, F.lit(10)))
-        symbols = F.transform(own, lambda x, i: F.when(lead(i), x - 2).otherwise(x))
-        radix = F.transform(own, lambda x, i: F.when(lead(i), F.lit(8)).otherwise(F.lit(10)))
-        moved = F.transform(feistel(symbols, radix, key, "phone"), lambda x, i: F.when(lead(i), x + 2).otherwise(x))
+        symbols = F.transform(own, lambda x, i: F.when(lead(i) & (x > 1), x - 2).otherwise(x))
+        radix = F.transform(own, lambda x, i: F.when(~lead(i), F.lit(10)).when(x > 1, F.lit(8)).otherwise(F.lit(2)))
+        moved = F.zip_with(feistel(symbols, radix, key, "phone"), radix, lambda x, r: F.when(r == 8, x + 2).otherwise(x))
         return _refill(v, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), _text(moved)))
 
     return _let(_digits(v), body)
 
 
 def _phone_ok(v: Column) -> Column:
-    return _digits(v).rlike(r"^1?[2-9]\d{2}[2-9]\d{6}$")
+    """Ten digits, or eleven after 1; without parentheses or prefix, area and exchange begin with 2 to 9."""
+    return _digits(v).rlike(r"^1?\d{10}$") & (v.rlike(r"^\+1|\(") | _digits(v).rlike(r"^[2-9]\d{2}[2-9]\d{6}$"))
 
 
 def _ssn_ok(v: Column) -> Column:
@@ -230,7 +251,6 @@ def _mail(v: Column, key: str) -> Column:
 def kind_of(v: Column) -> Column:
     """The kind of a candidate, null if it fails validation."""
     whole = lambda p: v.rlike("^(?:" + p + ")$")
-    bare = lambda p: p.replace(r"(?<=password=)", "")
     return (
         F.when(v.contains("@"), "mail")
         .when(whole(KEY_ID), "key")
@@ -240,7 +260,7 @@ def kind_of(v: Column) -> Column:
         .when(whole(CARD) & (luhn_sum(_digits(v)) % 10 == 0), "card")
         .when(whole(PHONE), F.when(_phone_ok(v), F.lit("phone")))
         .when(whole(IBAN) & _iban_ok(v), "iban")
-        .when(whole(bare(SECRET)) & ~v.rlike(r"^\d{13,19}$"), "secret")
+        .when(whole(SECRET), "secret")
     )
 
 
@@ -249,7 +269,7 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "mail", _mail(v, key))
         .when(kind == "key", F.concat(F.substring(v, 1, 4), _alphanumeric(F.substr(v, F.lit(5), F.length(v)), key, "key")))
-        .when(kind == "secret", F.when(v.rlike("^[0-9a-f]+$"), _hex(v, key)).otherwise(_alphanumeric(v, key, "secret")))
+        .when(kind == "secret", F.when(v.contains("="), F.concat(F.substring_index(v, "=", 1), F.lit("="), _secret(F.substring_index(v, "=", -1), key))).otherwise(_secret(v, key)))
         .when(kind == "iban", _iban(v, key))
         .when(kind == "date", _date(v, key))
         .when(kind == "ip", _ip(v, key))

@@ -72,6 +72,14 @@ def test_phones_addresses_and_numbers(spark):
     assert bad_ssn == "000-45-6789" and ssn != "123-45-6789" and ssn[:3] not in ("000", "666")
 
 
+def test_other_areas_and_letters(spark):
+    odd, bare, mail, token, word = run(spark, "+1 (017) 555-7713", "017-555-7713", "éñ.34@mail7.example.com", "X" + ' "0641917EA4E9FEB9CDA83477B57AC2654884F485"', "PASSWORD=E3B3ED3CC8548923D6")
+    assert odd != "+1 (017) 555-7713" and odd[4] in "01" and odd[9] in "23456789" and bare == "017-555-7713"
+    local = mail.split("@")[0]
+    assert mail.endswith("@mail7.example.com") and local[:2] != "éñ" and all("à" <= c <= "ÿ" for c in local[:2]) and local[3:].isdigit() and len(local) == 5
+    assert token.isupper() and len(token) == 44 and "0641917EA4E9" not in token and word != "PASSWORD=E3B3ED3CC8548923D6" and word.startswith("PASSWORD=")
+
+
 def test_iban(spark):
     a, b, bad = run(spark, "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "DE88370400440532013000")
     assert a.replace(" ", "") == b and b != "DE89370400440532013000" and bad == "DE88370400440532013000"
