@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import decontaminate, lines, packing, quality, simhash
+from holdfast.llm import decontaminate, lines, packing, quality, similar
 from holdfast.llm.textcore import bounded_batches, shared_dir, texts
 
 
@@ -32,9 +32,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: 0.8 of five-word shingles, found by wide signatures."""
     bounded_batches(spark)
-    return simhash.keep_one(docs)
+    return similar.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,4 +72,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{folder}/{i}_{name}")
         docs = spark.read.parquet(f"{folder}/{i}_{name}")
+        if i:
+            _remove(spark, f"{folder}/{i - 1}_{STAGES[i - 1][0]}")
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Drop a stage's table once its successor's is written."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

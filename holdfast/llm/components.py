@@ -16,6 +16,8 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+#: A key is common if more than one row in so many has it.
+COMMON = 1000
 #: Nodes for which a round's edges are kept in one file more.
 NODES_A_FILE = 200_000
 
@@ -43,3 +45,12 @@ def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
             break
         state = now
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def spread_names(rows: DataFrame, named: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """``rows`` joined with ``named(key, value, copies)``. Keys of more than one row in ``COMMON`` are fewer
+    than ``COMMON``, so they are broadcast; what is left has no hot key to join on."""
+    hot = named.where(F.col("copies") * COMMON > total)
+    few = F.broadcast(hot.select(key, value).limit(COMMON))
+    rest = rows.join(F.broadcast(hot.select(key).limit(COMMON)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(named.where(F.col("copies") * COMMON <= total).select(key, value), key))

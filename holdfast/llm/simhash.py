@@ -21,14 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, spread_names
 from .textcore import LOWER, SPACE, chunks, shared_dir, split_words, spread, texts
 
 DISTANCE = 3
 SHINGLE = 3
 SEED = 42
-#: A fingerprint is common if more than one row in so many has it.
-COMMON = 1000
 
 
 def fingerprints_of(column: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -91,16 +89,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     least = linked.join(distinct, "fp").groupBy("component").agg(F.min("rep").alias("component_id"))
     label = linked.join(least, "component").select("fp", "component_id")
     named = distinct.join(label, "fp", "left").select("fp", "copies", F.coalesce("component_id", "rep").alias("component_id"))
-    return _named(prints, named).select("doc_id", "fp", "component_id")
-
-
-def _named(prints: DataFrame, named: DataFrame) -> DataFrame:
-    """Rows with their fingerprint's component. Fingerprints of more than one row in ``COMMON`` are fewer
-    than ``COMMON``, so they are broadcast; what is left has no hot key to join on."""
-    named = named.withColumn("__hot", F.col("copies") * COMMON > prints.count())
-    hot = F.broadcast(named.where("__hot").limit(COMMON).select("fp", "component_id"))
-    rest = prints.join(F.broadcast(named.where("__hot").limit(COMMON).select("fp")), "fp", "left_anti")
-    return prints.join(hot, "fp").unionByName(rest.join(named.where("not __hot").select("fp", "component_id"), "fp"))
+    return spread_names(prints, named, "fp", "component_id", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -1,5 +1,5 @@
 import brute
-from holdfast.llm import decontaminate, lines, phrases, simhash, suffixes
+from holdfast.llm import decontaminate, lines, phrases, similar, simhash, suffixes
 from holdfast.llm.components import components
 from pyspark.sql import functions as F
 
@@ -58,9 +58,8 @@ def test_lines(docs, corpus, empty):
     assert rows(lines.line_report(docs), *L) == by_repr(brute.lines(corpus))
     out = lines.dedup(docs)
     assert out.schema == docs.schema
-    got = by_repr((i, None if t is None else brute.sha(t)) for i, t in rows(out, "doc_id", "text"))
-    texts = {(i, t is None) for i, t in corpus}
-    assert got == by_repr((i, None if (i, True) in texts and (i, False) not in texts else h) for i, _, _, h in brute.lines(corpus) if i is not None) or len(got) == len(corpus)
+    want = by_repr((i, None if t is None else h) for (i, t), (_, _, _, h) in zip(corpus, brute.lines(corpus)))
+    assert by_repr((i, None if t is None else brute.sha(t)) for i, t in rows(out, "doc_id", "text")) == want
     assert lines.dedup(empty).count() == 0 and lines.line_report(empty).count() == 0
 
 
@@ -141,3 +140,68 @@ def test_oracles(spark):
 def test_row_order_does_not_matter(docs):
     other = docs.orderBy(F.rand(1))
     assert rows(phrases.dedup_phrases(other), *P) == rows(phrases.dedup_phrases(docs), *P)
+
+
+def shingles(text, n=5):
+    w = brute.SPACE.findall(brute.lower(text))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or {tuple(w)}
+
+
+def alike(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def family(rng, n, words=150):
+    """A text and near copies, each with two words replaced."""
+    base = [f"w{rng.randrange(900)}" for _ in range(words)]
+    out = [base]
+    for k in range(n):
+        copy = list(base)
+        for at in rng.sample(range(words), 2):
+            copy[at] = f"new{k}x{at}"
+        out.append(copy)
+    return [" ".join(x) for x in out]
+
+
+def test_similar(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = [t for n in (1, 2, 5, 30) for t in family(rng, n)] + [" ".join(f"w{rng.randrange(900)}" for _ in range(rng.randint(1, 200))) for _ in range(30)]
+    texts += [texts[0].upper(), texts[3], "", " ", None, "short", "short", "Short"]
+    rng.shuffle(texts)
+    spread = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, node int, class_id int").repartition(3)
+    label = {}
+    for i in range(len(texts)):
+        stack = [i]
+        while stack:
+            at = stack.pop()
+            if at not in label:
+                label[at] = label.get(i, i) if at != i else i
+                stack += [j for j in range(len(texts)) if j not in label and alike(texts[at], texts[j])]
+    got = {r.doc_id: r.class_id for r in similar.classes(spread).collect()}
+    assert got == label
+    kept = similar.keep_one(spread)
+    assert kept.columns == spread.columns and {r.doc_id for r in kept.collect()} == set(label.values())
+
+
+def test_similar_edge_cases(docs, corpus, empty):
+    out = similar.keep_one(docs)
+    assert out.columns == docs.columns and out.where("doc_id is null").count() == 2
+    assert out.where("doc_id between 100 and 105").count() == 0 and out.where("doc_id in (500, 501, 502, 503)").count() == 2
+    assert similar.classes(docs).count() == len(corpus) and similar.keep_one(empty).count() == 0
+
+
+def test_forest_connects_what_pairs_connect():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64)
+    sig = np.repeat(base, 40, 0)
+    for k in range(40):
+        for b in rng.integers(0, 256, 9):
+            sig[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    a, b, star = similar._forest(sig, np.arange(40), None)
+    assert (~star).sum() == 39 == similar.spanning(a, b, similar._far(sig, a, b)).sum()
+    assert set(a.tolist()) | set(b.tolist()) == set(range(40)) and len(a) <= 78 and (similar._far(sig, a, b) <= similar.DISTANCE).all()
