@@ -6,8 +6,9 @@ lengths). Pieces go in decreasing length to the open bin that can take them unde
 weighted residual norm after that is least (``rule="norm"``), or whose weighted dot-product of demand and
 residual is greatest (``rule="dot"``).
 
-Pieces are dealt by a hash into groups of about ``GROUP`` and each group is packed alone in one task, so
-memory is bounded and no task grows with the corpus; that costs about one half-filled sequence a group.
+Pieces are dealt by a hash into partitions of about ``GROUP``, at most ``PARTITIONS`` of them, and a
+partition is packed in groups of one to two ``GROUP``, so a task's memory is bounded whatever the corpus;
+that costs about one half-filled sequence a group.
 Full pieces fill a sequence and are never searched for.
 
 Defined cases: null and empty texts are the end id alone; strings of special tokens are ordinary text;
@@ -31,6 +32,7 @@ from .textcore import shared_dir, texts
 TOKENS = 1024
 END = 2
 GROUP = 10_000
+PARTITIONS = 50_000
 #: Capacities of a sequence besides its tokens; these two follow from 1024 tokens and so never refuse a piece.
 DOCUMENTS = TOKENS
 ATTENTION = TOKENS * TOKENS
@@ -142,19 +144,25 @@ def pack(parts: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, att
     """``parts`` (as from :func:`pieces`) with sequence_id and offset."""
     shared_dir(parts.sparkSession)
     parts = parts.checkpoint()  # the ids are made once; the number of groups follows the count
-    groups = max(1, -(-parts.count() // group))
+    partitions = min(PARTITIONS, max(1, -(-parts.count() // group)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
+    def packed(got: list[pa.RecordBatch], base: int) -> tuple[pa.Table, int]:
         t = pa.Table.from_batches(got).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).combine_chunks()
         where, offset = best_fit(t.column("length").to_numpy(), tokens, documents, attention, weights, rule)
-        base = TaskContext.get().partitionId() << 32
-        t = t.append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset))
-        yield from t.to_batches(max_chunksize=10_000)
+        return t.append_column("sequence_id", pa.array(where + base)).append_column("offset", pa.array(offset)), base + int(where.max()) + 1
 
-    return parts.repartition(groups, F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, base = [], TaskContext.get().partitionId() << 32
+        for b in batches:
+            got.append(b)
+            if sum(x.num_rows for x in got) >= 2 * group:
+                t, base = packed(got, base)
+                got = []
+                yield from t.to_batches(max_chunksize=10_000)
+        if sum(x.num_rows for x in got):
+            yield from packed(got, base)[0].to_batches(max_chunksize=10_000)
+
+    return parts.repartition(partitions, F.xxhash64("doc_id", "piece", "ids_crc32")).mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

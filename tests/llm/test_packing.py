@@ -23,7 +23,11 @@ def test_encoder_equals_the_tokenizer(tokenizer):
         assert encode(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_round_trip(spark, docs, corpus, empty, tokenizer):
+@pytest.mark.parametrize("most", [packing.PARTITIONS, 1])
+def test_round_trip(spark, docs, corpus, empty, tokenizer, monkeypatch, most):
+    monkeypatch.setattr(packing, "PARTITIONS", most)  # one partition: several groups of two rounds' rows
+    monkeypatch.setattr(packing, "GROUP", 20)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "15")
     out = packing.pack(packing.pieces(docs), group=20).collect()
     want = []
     for i, t in corpus:
