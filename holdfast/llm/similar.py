@@ -1,15 +1,23 @@
-"""Near-duplicates by similarity: wide SimHash signatures with deletion variants, verified exactly.
+"""Near-duplicates by similarity: wide SimHash signatures first, prefixes of the shingle sets for the rest.
 
 Texts are alike if the Jaccard similarity of their sets of ``words``-word shingles is at least
-``similarity``. A 64-bit fingerprint with three bits of tolerance finds few of these, so signatures here
-have 256 bits, voted by the distinct words (a near copy differs in about a tenth of them at 0.8). They are
-cut into eight 32-bit segments, of which one differs by a bit at most in nearly every such pair.
-
-Two segments that differ by one bit agree in one half of 16 bits, so a signature moves 16 times, keyed by
-segment, half and the half's value, and the one-wildcard variants of the other half are indexed and
-equality-joined where it arrives. Pairs there are verified by the whole signature; of each variant's
-group a minimum spanning forest by distance and the star around its middle go on, not all pairs, so a
-family of n texts yields about 2 n edges a group. The edges are then verified by their shingles, and what is linked forms one class.
+``similarity``; what is linked forms one class. Two searches give candidates, and every candidate is
+verified by its shingles.
+
+The first is quick and misses pairs. Signatures have 256 bits, voted by the distinct words, and are cut into
+eight 32-bit segments. Two segments that differ by one bit agree in one half of 16 bits, so a signature moves
+16 times, keyed by segment, half and the half's value, and the one-wildcard variants of the other half are
+indexed and equality-joined where it arrives. Pairs there are compared by the whole signature; of each
+variant's group a minimum spanning forest by distance and the star around its middle go on. Copies with
+scattered edits are found so; a passage added, cut or replaced in one place can move more bits than
+``DISTANCE``, and a forest's edges may fail where other pairs hold.
+
+The second misses none. Under one order of all shingles, two sets of at least ``similarity`` share a shingle
+among the first ``n - ceil(similarity x n) + 1`` of each, so these prefixes are exchanged by shingle, and of
+every shingle's group all pairs go on whose sizes and places allow the similarity and which verified edges
+have not put in one class yet; counts by 256 hash values bound what a pair can have in common, and few are left
+to verify. The order puts shingles of many texts last, so that common passages are in few
+prefixes; it decides the cost, never the result.
 
 Defined cases: texts of equal lower-case words are one text (one of none is the empty text); fewer words
 than a shingle are one shingle; null reads as empty; repeated rows share a class; class ids are the smallest
@@ -31,11 +39,18 @@ from .textcore import LOWER, SPACE, chunks, hash_words, mix, roll, shared_dir, s
 WORDS, SIMILARITY = 5, 0.8
 LANES = 4
 SEGMENTS = 2 * LANES
-#: Greatest distance of candidate signatures; pairs at 0.8 differ in about 16 bits, unrelated texts in 125.
+#: Greatest distance of the first search's candidates: pairs at 0.8 differ in about 16 bits by scattered
+#: edits, in 30 to 38 by a passage in one place; unrelated texts in 125.
 DISTANCE = 36
 #: Groups up to this size give all their pairs, larger ones a spanning forest.
 SMALL = 8
 BUCKETS = 1024
+#: Counters (a power of two) by which the prefixes' order tells common shingles, and how many of them are kept.
+HEAT, HOTTEST = 1 << 18, 1 << 16
+#: Pairs that are tested at once.
+BLOCK = 1 << 20
+#: Counters of a set's sketch, which bounds what two sets can have in common.
+SKETCH = 256
 
 _U = np.uint64
 
@@ -223,6 +238,175 @@ def _shingled(words: int):
     return run
 
 
+def _counted(words: int):
+    """Per task: the counters far above their mean."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(HEAT, np.int64)
+        for b in batches:
+            for _, h, offs in _words(b.column("text")):
+                for s in shingles(h, offs, words):
+                    np.add.at(count, _counter(s), 1)
+        some = np.flatnonzero(count > 4 * count.mean() + 8)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["counter", "count"])
+
+    return run
+
+
+def _counter(s: np.ndarray) -> np.ndarray:
+    return (s & _U(HEAT - 1)).astype(np.int64)
+
+
+def heat(narrow: DataFrame, words: int) -> np.ndarray:
+    """Power of two of the texts that hold a counter's shingles, 0 for those that are not common."""
+    found = narrow.select("text").mapInArrow(_counted(words), "counter long, count long").groupBy("counter").agg(F.sum("count").alias("count"))
+    rows = found.orderBy(F.desc("count"), "counter").limit(HOTTEST).toArrow()
+    out = np.zeros(HEAT, np.uint8)
+    out[rows.column("counter").to_numpy()] = np.log2(rows.column("count").to_numpy()).astype(np.uint8)
+    return out
+
+
+def prefix(s: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, of which a set as similar has at least one among its own."""
+    order = np.lexsort((s, level[_counter(s)]))
+    return s[order[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]]
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall on each counter, up to 255."""
+    return np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+
+
+def can_be_alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles with the sketches x and y can be as similar: what they have in
+    common is at most the sum of the lesser counts, and what the counters could not hold."""
+    beyond = np.minimum(n - x.sum(1, dtype=np.int64), m - y.sum(1, dtype=np.int64))
+    common = np.minimum(x, y).sum(1, dtype=np.int64) + beyond
+    return (1 + similarity) * common >= similarity * (n + m) - 1e-6
+
+
+def _possible(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in ("x", "y"))
+            n, m = (b.column(k).to_numpy().astype(np.int64) for k in ("n", "m"))
+            yield b.select(["u", "v"]).filter(pa.array(can_be_alike(x, y, n, m, similarity)))
+
+    return run
+
+
+def _prefixed(words: int, similarity: float, level):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, h, offs in _words(b.column("text")):
+                key, _ = signatures(h, offs)
+                sets = shingles(h, offs, words)
+                first = [prefix(s, level.value, similarity).tobytes() if len(s) else b"" for s in sets]
+                counts = [sketch(s).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.binary()), pa.array(counts, pa.binary())], ["node", "size", "first", "sketch"])
+
+    return run
+
+
+#: apart: component and node differ in these bits; mostly none, which takes few bytes.
+POSTING = "token long, before long, node long, apart long, size int, place int"
+_POSTING = [x.split()[0] for x in POSTING.split(", ")]
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        first = [np.frombuffer(x, np.int64) for x in b.column("first").to_pylist()]
+        n = np.array([len(x) for x in first], np.int64)
+        token = np.concatenate([*first, np.zeros(0, np.int64)])
+        place, text = spread(n), np.repeat(np.arange(len(n)), n)
+        before = np.where(place > 0, np.roll(token, 1), 0)
+        node, component, size = (b.column(x).to_numpy(zero_copy_only=False)[text] for x in ("node", "component", "size"))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, before, node, node ^ component, size, place.astype(np.int32))], _POSTING)
+
+
+def prefix_pairs(post: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one token and different components that can be alike, in blocks; postings are whole
+    groups, a node once in each. A pair whose tokens before are equal is left to an earlier token."""
+    order = np.lexsort((post["size"], post["token"]))
+    token, before, node, apart, size, place = (post[x][order] for x in _POSTING)
+    component = node ^ apart
+    size, place = size.astype(np.int64), place.astype(np.int64)
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = token[1:] != token[:-1]
+    end = np.append(np.flatnonzero(fresh), len(token))[np.cumsum(fresh)]
+    # partners of an entry: those after it in its group that are not too large
+    top = np.maximum(np.floor(size / similarity + 1e-9).astype(np.int64), size)
+    group, width = np.cumsum(fresh), int(size.max(initial=0)) * 2 + 2
+    last = np.minimum(np.searchsorted(group * width + size, group * width + np.minimum(top, width - 1), "right"), end)
+    begin = np.flatnonzero(fresh)
+    mixed = np.maximum.reduceat(component, begin) != np.minimum.reduceat(component, begin) if len(begin) else np.zeros(0, bool)
+    todo = np.where(mixed[group - 1], last - np.arange(len(token)) - 1, 0)
+    total = np.cumsum(todo)
+    at = 0
+    while at < len(todo):
+        done = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, done + BLOCK, "right")))
+        a = np.repeat(np.arange(at, to), todo[at:to])
+        b = a + 1 + spread(todo[at:to])
+        at = to
+        ok = (component[a] != component[b]) & ((place[a] == 0) | (place[b] == 0) | (before[a] != before[b]))
+        a, b = a[ok], b[ok]
+        common = np.minimum(size[a] - place[a], size[b] - place[b])
+        ok = (1 + similarity) * common >= similarity * (size[a] + size[b]) - 1e-6
+        a, b = a[ok], b[ok]
+        if len(a):
+            yield np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+
+
+def _paired(similarity: float):
+    """Batches in the order of their tokens -> candidate pairs."""
+
+    def pairs(parts: list[dict]) -> Iterator[pa.RecordBatch]:
+        for u, v in prefix_pairs({x: np.concatenate([p[x] for p in parts]) for x in _POSTING}, similarity):
+            both = np.unique(np.stack([u, v], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[dict] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            post = {x: b.column(x).to_numpy() for x in _POSTING}
+            cut = int(np.searchsorted(post["token"], post["token"][-1]))
+            if cut or open_ and open_[-1]["token"][-1] != post["token"][0]:
+                yield from pairs([*open_, {x: v[:cut] for x, v in post.items()}])
+                open_ = []
+            open_.append({x: v[cut:] for x, v in post.items()})
+        if open_:
+            yield from pairs(open_)
+
+    return run
+
+
+def remaining_edges(narrow: DataFrame, linked: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v) of every pair that can be alike and is not in one component of ``linked(node, component)``."""
+    level = narrow.sparkSession.sparkContext.broadcast(heat(narrow, words))
+    first = narrow.select("text").mapInArrow(_prefixed(words, similarity, level), "node long, size int, first binary, sketch binary").dropDuplicates(["node"]).checkpoint()
+    named = first.join(linked.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+    posted = named.select("node", F.coalesce("component", "node").alias("component"), "size", "first").mapInArrow(_postings, POSTING)
+    pairs = posted.repartition("token").sortWithinPartitions("token").mapInArrow(_paired(similarity), "u long, v long").distinct()
+    x = first.select(F.col("node").alias("u"), F.col("size").alias("n"), F.col("sketch").alias("x"))
+    y = first.select(F.col("node").alias("v"), F.col("size").alias("m"), F.col("sketch").alias("y"))
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "n", "m", "x", "y").mapInArrow(_possible(similarity), "u long, v long")
+
+
+def verified(edges: DataFrame, narrow: DataFrame, distinct: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges whose texts are alike."""
+    wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct.select("node", "rep"), "node").select(F.col("rep").alias("__hf_id")).distinct()
+    sets = narrow.join(wanted, F.col("doc_id") == F.col("__hf_id"), "left_semi").select("text").mapInArrow(_shingled(words), "node long, shingles array<long>").dropDuplicates(["node"])
+    x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    alike = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)
+    return edges.join(x, "u").join(y, "v").where(alike).select("u", "v")
+
+
 def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, node, class_id) of every row of ``docs``; node tells different texts apart."""
     shared_dir(docs.sparkSession)
@@ -231,12 +415,10 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     distinct = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     total, texts = rows.count(), distinct.count()
     edges = candidate_edges(distinct.select("node", "sig"), max(BUCKETS, texts // 100_000)).coalesce(texts // 200_000 + 1).checkpoint()
-    wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct.select("node", "rep"), "node").select(F.col("rep").alias("__hf_id")).distinct()
-    sets = narrow.join(wanted, F.col("doc_id") == F.col("__hf_id"), "left_semi").select("text").mapInArrow(_shingled(words), "node long, shingles array<long>").dropDuplicates(["node"])
-    x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    alike = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)
-    linked = components(edges.join(x, "u").join(y, "v").where(alike).select("u", "v"), texts).withColumnRenamed("node", "__node")
+    quick = components(verified(edges, narrow, distinct, words, similarity), texts).checkpoint()
+    edges = remaining_edges(narrow, quick, words, similarity).checkpoint()
+    found = verified(edges, narrow, distinct, words, similarity)
+    linked = components(quick.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found), texts).withColumnRenamed("node", "__node")
     member = distinct.select("node", "rep", "copies").join(linked, F.col("node") == F.col("__node"), "left").select("node", "rep", "copies", F.coalesce("component", "node").alias("component"))
     least = member.groupBy("component").agg(F.min("rep").alias("class_id"))
     named = member.join(least, "component").select("node", "class_id", "copies")

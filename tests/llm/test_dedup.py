@@ -205,3 +205,42 @@ def test_forest_connects_what_pairs_connect():
     a, b, star = similar._forest(sig, np.arange(40), None)
     assert (~star).sum() == 39 == similar.spanning(a, b, similar._far(sig, a, b)).sum()
     assert set(a.tolist()) | set(b.tolist()) == set(range(40)) and len(a) <= 78 and (similar._far(sig, a, b) <= similar.DISTANCE).all()
+
+
+def brute_classes(texts):
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = [shingles(t) for t in texts]
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: root(i) for i in range(len(texts))}
+
+
+def found_classes(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.class_id for r in similar.classes(docs).collect()}
+
+
+def test_similar_in_large_groups(spark):
+    """Orders of the same words have one signature and few common shingles; each has one copy near 0.8."""
+    import random
+
+    rng = random.Random(8)
+    words, texts = [f"w{i}" for i in range(100)], []
+    for k in range(150):
+        rng.shuffle(words)
+        copy = list(words)
+        for at in (20, 60):
+            copy[at] = f"new{k}x{at}"
+        texts += [" ".join(words), " ".join(copy)]
+    rng.shuffle(texts)
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 150 and found_classes(spark, texts) == want
