@@ -244,3 +244,25 @@ def test_similar_in_large_groups(spark):
     rng.shuffle(texts)
     want = brute_classes(texts)
     assert len(set(want.values())) == 150 and found_classes(spark, texts) == want
+
+
+def test_similar_with_passages_in_one_place(spark):
+    """Every pair of at least 0.8 is found, if a passage is added, cut or replaced in one place."""
+    import random
+
+    rng = random.Random(15)
+    texts = []
+    for k in range(240):
+        n = (100, 400)[k // 3 % 2]
+        words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        share = rng.randrange(4, 20) * n // 100
+        new = [f"w{rng.randrange(5000)}" for _ in range(share)]
+        at = rng.randrange(n - share)
+        other = (words + new, words[:at] + words[at + share :], words[:at] + new[: share // 2] + words[at + share // 2 :])[k % 3]
+        texts += [" ".join(words), " ".join(other)]
+    pairs = [i for i in range(0, len(texts), 2) if alike(texts[i], texts[i + 1])]
+    got = found_classes(spark, texts)
+    missed = [i for i in pairs if got[i] != got[i + 1]]
+    print(f"{len(pairs) - len(missed)} of {len(pairs)} pairs found")
+    assert len(pairs) > 150 and not missed
+    assert got == brute_classes(texts)
