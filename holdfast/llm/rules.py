@@ -6,9 +6,9 @@ and for the raw corpus (all documents): byte 3-grams of the text, and pairs of n
 the two kinds of its mean log ratio target : raw, so it doesn't depend on length; a document is kept if it
 passes the base rules and the score is at least ``THRESHOLD``, the same for every document and corpus.
 
-The raw counts cover every document: each task sums a vector of fixed size and sends its non-zero buckets,
-which are summed by bucket. The target is at most ``TARGETS`` labelled documents, those of the smallest
-``xxhash64(doc_id)`` (their ids are broadcast, within that bound). The model is ``BUCKETS`` floats.
+Both counts are whole: the raw one covers every document, the target every document with a label of quality
+1, found by an ordinary join by doc_id. Each task sums vectors of fixed size and sends their non-zero buckets,
+which are summed by bucket. The model is ``BUCKETS`` floats.
 
 Defined cases: null and empty texts have no words and fail the base rules; without any target document the
 ratio is zero everywhere and the base rules alone decide; repeated rows are scored each; further columns
@@ -29,7 +29,6 @@ from .textcore import SPACE, chunks, covered, hash_words, lut, mix, roll, split_
 
 GRAMS, PAIRS = 1 << 16, 1 << 14
 BUCKETS = GRAMS + PAIRS
-TARGETS = 20_000
 THRESHOLD = -0.5
 ALPHA = 0.5
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 20, 8, 30
@@ -105,11 +104,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(target[some]), pa.array(raw[some])], ["bucket", "target", "raw"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, targets: int = TARGETS) -> np.ndarray:
+def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratios target : raw by bucket."""
     ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__hf_id")).distinct()
-    ids = ids.orderBy(F.xxhash64("__hf_id"), "__hf_id").limit(targets)
-    flagged = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), F.col("doc_id") == F.col("__hf_id"), "left").select("text", F.col("__hf_id").isNotNull().alias("trusted"))
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    flagged = narrow.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("__hf_id"), "left").select("text", F.col("__hf_id").isNotNull().alias("trusted"))
+    flagged = flagged.unionByName(narrow.where("doc_id is null").select("text", F.lit(False).alias("trusted")))  # not one task's in the join
     rows = flagged.mapInArrow(_counts, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = rows.column("bucket").to_numpy()

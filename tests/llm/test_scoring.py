@@ -34,6 +34,17 @@ def test_ratio_is_the_multinomials(spark):
     assert not rules.learn(docs, labels.limit(0)).any()
 
 
+def test_every_trusted_document_counts(spark):
+    n = 20_100
+    docs = spark.range(n).selectExpr("id doc_id", "if(id % 2 = 0, 'aaa', 'bbb') text").unionByName(spark.createDataFrame([(None, "aaa")] * 5, "doc_id long, text string"))
+    ratio = rules.learn(docs, spark.range(n).selectExpr("id doc_id", "1 quality"))
+    words = (np.array([0]), np.array([3]), np.array([0, 1]), np.array([1], np.uint64))
+    bucket = rules.grams(np.frombuffer(b"aaa", np.uint8), np.array([0, 3]), words)[0][0]
+    t = (n / 2 + rules.ALPHA) / (n + rules.ALPHA * rules.GRAMS)
+    r = (n / 2 + 5 + rules.ALPHA) / (n + 5 + rules.ALPHA * rules.GRAMS)
+    assert ratio[bucket] == pytest.approx(np.log(t / r), abs=1e-6)
+
+
 def test_rules_on_the_tables(spark):
     docs, labels = texts(spark, DATA), texts(spark, DATA, "labels")
     found = rules.op3_quality_rules(spark, DATA).join(labels, "doc_id").where("not base_failed")
