@@ -6,12 +6,16 @@ suffixes at once; those that keep an interval down to the window's depth give ev
 window occurs, and comparing onward from there gives the longest verbatim match.
 
 A document's hits depend on that document and the benchmark alone, so the documents never move. The
-benchmark is the query side: it goes to the tasks in blocks of at most ``BLOCK_BYTES``; with more than
-one block a pass per block is made, and the passes' hit ranges are united by document.
+benchmark is the query side: it goes to the tasks in blocks of at most ``BLOCK_BYTES`` of text. Passes over
+the blocks follow each other, and each carries the row's hits so far along with the row, so rows are never
+joined back; after every ``ALIVE`` passes the rows are written to the shared folder and the blocks' broadcasts
+dropped, so what a task holds does not grow with the benchmark.
 
 Defined cases: null or empty text has no words; a null item has none either and never matches; rows of
-one doc_id are reported row by row; an item of fewer than ``width`` words is one window; an empty
-benchmark contaminates nothing; further columns are ignored, or kept by :func:`remove_contaminated`.
+one doc_id, and repeated rows, are reported row by row, whatever the number of blocks; an item_id that
+repeats is one item with all its rows' windows; items without item_id are one item without a name, whose
+windows count as any other's; an item of fewer than ``width`` words is one window; an empty benchmark
+contaminates nothing; further columns are ignored, or kept by :func:`remove_contaminated`.
 """
 
 from __future__ import annotations
@@ -23,14 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .textcore import LOWER, NON_ALNUM, chunks, covered, hash_words, spread, split_words, text_key, texts
+from .textcore import LOWER, NON_ALNUM, chunks, covered, hash_words, shared_dir, spread, split_words, texts
 
 WIDTH = 10
 BLOCK_BYTES = 32 << 20
 #: A block's broadcast holds its word hashes (8 bytes a word of two bytes at least), so under 5 x BLOCK_BYTES.
-
-HITS = "doc_id long, key long, n_words long, begins array<long>, lengths array<long>, items array<string>"
+ALIVE = 4
+#: Columns that a pass adds: what is known of the row's hits.
+FOUND = T.StructType([T.StructField("__hf_words", T.LongType()), T.StructField("__hf_begins", T.ArrayType(T.LongType())), T.StructField("__hf_lengths", T.ArrayType(T.LongType())), T.StructField("__hf_items", T.ArrayType(T.StringType()))])
 MATCHES = "doc_id long, item_id string, item_word int, doc_word int, n_words int"
 
 
@@ -45,7 +51,7 @@ def words_of(column: pa.Array):
 class Suffixes:
     """The benchmark's suffixes: word hashes, and for each suffix its place, window depth and item."""
 
-    def __init__(self, ids: list[str], column: pa.Array, width: int):
+    def __init__(self, ids: list[str | None], column: pa.Array, width: int):
         self.ids = ids
         parts, at, depth, item = [], [], [], []
         base = 0
@@ -59,9 +65,8 @@ class Suffixes:
             base += len(h)
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         self.words, self.at, self.depth, self.item = join(parts, np.uint64), join(at, np.int64), join(depth, np.int64), join(item, np.int64)
-        end = np.full(len(ids) + 1, 0)
-        for i in range(len(self.at)):
-            end[self.item[i]] = self.at[i] + self.depth[i]
+        end = np.zeros(len(ids) + 1, np.int64)
+        np.maximum.at(end, self.item, self.at + self.depth)
         self.end = end[self.item] if len(self.item) else self.item
 
 
@@ -145,9 +150,17 @@ def occurrences(h: np.ndarray, offs: np.ndarray, q: Suffixes):
     return np.repeat(suffix, hi - lo), text[place], place, x
 
 
-def _hits(q):
+def _named(ids: set) -> list:
+    return sorted(ids, key=lambda x: (x is None, x))
+
+
+def _hits(q, first: bool):
+    """Rows with their hits of a block of the benchmark, united with those they bring from the passes before."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            before = None if first else [b.column(f.name).to_pylist() for f in FOUND.fields[1:]]
+            bare = b if first else b.select(b.schema.names[: -len(FOUND.fields)])
             for c, h, offs in words_of(b.column("text")):
                 suffix, text, place, _ = occurrences(h, offs, q.value)
                 word = place - offs[text] - text
@@ -157,16 +170,18 @@ def _hits(q):
                 out: list[list] = [[], [], []]
                 for i in range(c.rows):
                     part = slice(cut[i], cut[i + 1])
-                    if part.start == part.stop:
-                        for x in out:
-                            x.append([])
-                        continue
-                    n = int(offs[i + 1] - offs[i])
-                    hit = np.flatnonzero(np.diff(covered(n, word[part], q.value.depth[suffix[part]]).astype(np.int8), prepend=0, append=0))
-                    out[0].append(hit[::2])
-                    out[1].append(hit[1::2] - hit[::2])
-                    out[2].append([q.value.ids[k] for k in np.unique(q.value.item[suffix[part]])])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(c.first, c.rows), b.column("key").slice(c.first, c.rows), pa.array(np.diff(offs)), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.string()))], ["doc_id", "key", "n_words", "begins", "lengths", "items"])
+                    begin, length, ids = word[part], q.value.depth[suffix[part]], {q.value.ids[k] for k in np.unique(q.value.item[suffix[part]])}
+                    if before:
+                        old = [x[c.first + i] for x in before]
+                        begin, length, ids = np.append(begin, old[0]).astype(np.int64), np.append(length, old[1]).astype(np.int64), ids | set(old[2])
+                    if len(begin):
+                        hit = np.flatnonzero(np.diff(covered(int(offs[i + 1] - offs[i]), begin, length).astype(np.int8), prepend=0, append=0))
+                        begin, length = hit[::2], hit[1::2] - hit[::2]
+                    for x, v in zip(out, (begin, length, _named(ids))):
+                        x.append(v)
+                arrays = [pa.array(np.diff(offs)), *(pa.array(x, pa.list_(pa.int64())) for x in out[:2]), pa.array(out[2], pa.list_(pa.string()))]
+                own = bare.slice(c.first, c.rows)
+                yield pa.RecordBatch.from_arrays([*own.columns, *arrays], [*own.schema.names, *FOUND.names])
 
     return run
 
@@ -196,17 +211,18 @@ def _matches(q):
 
 
 def _blocks(benchmark: DataFrame, width: int):
-    """Broadcasts of the benchmark's suffixes, block by block of bounded size."""
+    """Broadcasts of the benchmark's suffixes, block by block of bounded size; one at least."""
     spark = benchmark.sparkSession
-    rows, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null").orderBy("i").toLocalIterator():
+    send = lambda rows: spark.sparkContext.broadcast(Suffixes([x.i for x in rows], pa.array([x.t for x in rows], pa.string()), width))
+    rows, size, sent = [], 0, 0
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).orderBy("i", "t").toLocalIterator():
         rows.append(r)
         size += len((r.t or "").encode())
         if size >= BLOCK_BYTES:
-            yield spark.sparkContext.broadcast(Suffixes([x.i for x in rows], pa.array([x.t for x in rows], pa.string()), width))
-            rows, size = [], 0
-    if rows:
-        yield spark.sparkContext.broadcast(Suffixes([x.i for x in rows], pa.array([x.t for x in rows], pa.string()), width))
+            yield send(rows)
+            rows, size, sent = [], 0, sent + 1
+    if rows or not sent:
+        yield send(rows)
 
 
 def verbatim_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -217,52 +233,37 @@ def verbatim_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH)
     for q in _blocks(benchmark, width):
         part = narrow.mapInArrow(_matches(q), MATCHES)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], MATCHES)
+    return out
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, width: int) -> DataFrame:
+    """``docs`` with the columns ``FOUND``; every pass takes whole rows and returns them."""
+    schema = T.StructType([*docs.schema.fields, *FOUND.fields])
+    alive, first = [], True
+    for q in _blocks(benchmark, width):
+        if len(alive) == ALIVE:
+            shared_dir(docs.sparkSession)
+            docs = docs.checkpoint()
+            for x in alive:
+                x.unpersist()
+            alive = []
+        docs, first = docs.mapInArrow(_hits(q, first), schema), False
+        alive.append(q)
+    return docs
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per document row: doc_id, key, n_words, hit word ranges (begins, lengths) and the items found."""
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", text_key(F.col("text")))
-    passes = [narrow.mapInArrow(_hits(q), HITS) for q in _blocks(benchmark, width)]
-    if not passes:
-        empty = docs.sparkSession.sparkContext.broadcast(Suffixes([], pa.array([], pa.string()), width))
-        return narrow.mapInArrow(_hits(empty), HITS)
-    if len(passes) == 1:
-        return passes[0]
-    united = passes[0]
-    for p in passes[1:]:
-        united = united.unionByName(p)
-    united = united.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.collect_list(F.arrays_zip("begins", "lengths")).alias("r"), F.flatten(F.collect_list("items")).alias("items"))
-    merged = """aggregate(array_sort(flatten(r)), cast(array() as array<struct<begins:bigint,lengths:bigint>>), (a, x) ->
-        if(size(a) > 0 and element_at(a, -1).begins + element_at(a, -1).lengths >= x.begins,
-           concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).begins as begins,
-                  greatest(element_at(a, -1).lengths, x.begins + x.lengths - element_at(a, -1).begins) as lengths))),
-           concat(a, array(x))))"""
-    united = united.withColumn("r", F.expr(merged))
-    return united.select("doc_id", "key", "n_words", F.col("r.begins").alias("begins"), F.col("r.lengths").alias("lengths"), "items")
+    """Per document row: doc_id, n_words, hit word ranges (begins, lengths) and the items found."""
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _found(narrow, benchmark, width).select("doc_id", *(F.col(n).alias(n[5:] if n != "__hf_words" else "n_words") for n in FOUND.names))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least_share: float = 0.0) -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; every column is kept.
 
     least_share: hit words over words above which a document goes; 0 means any hit."""
-
-    def run(q):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for c, h, offs in words_of(b.column("text")):
-                    suffix, text, place, _ = occurrences(h, offs, q.value)
-                    hit = covered(len(h), place - text, q.value.depth[suffix])
-                    n = np.diff(np.concatenate([[0], np.cumsum(hit)])[offs])
-                    keep[c.first : c.first + c.rows] = ~((n > 0) & (n >= least_share * np.diff(offs)))
-                yield b.filter(pa.array(keep))
-
-        return each
-
-    for q in _blocks(benchmark, width):
-        docs = docs.mapInArrow(run(q), docs.schema)
-    return docs
+    n_hit = F.expr("aggregate(__hf_lengths, 0L, (a, x) -> a + x)")
+    return _found(docs, benchmark, width).where(~((n_hit > 0) & (n_hit >= F.lit(least_share) * F.col("__hf_words")))).select(docs.columns)
 
 
 def digest(hits: DataFrame) -> DataFrame:

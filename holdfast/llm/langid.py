@@ -4,16 +4,19 @@ Every learned language has a multinomial over hashed character n-grams (bytes, o
 bounds) of its documents. A document is a mixture: each word is written in language k with probability
 theta_k, and its likelihood in k follows from its n-grams. Expectation-maximisation estimates theta for
 each document; the languages it ranks are then added one by one, each set is fitted by EM alone, and the
-set of the greatest log-likelihood less ``PENALTY`` x log(words) per language is selected. The prediction
-is the language of the greatest proportion in the set, the score is that proportion.
+set of the greatest log-likelihood less ``PENALTY`` x log(words) per language is selected, of whatever size:
+a word's likelihood is at most one, so a size whose penalty alone is beyond the best value found ends the
+search. The prediction is the language of the greatest proportion in the set, the score is that proportion.
 
 Counts cover all documents that may be learned from: a task sums vectors of fixed size and sends non-zero
-buckets, which are summed by language and bucket. The model holds ``BUCKETS`` floats a language and is
-refused beyond ``LANGUAGES`` languages, so what the driver and the tasks hold is bounded.
+buckets, which are summed by language and bucket. Any number of languages is learned: the model grows with
+their names and not with the documents, by ``BUCKETS`` floats (128 KiB) a language, and the texts of a
+chunk shrink as the languages grow (``CELLS``), so that a task's matrices keep their size.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0, as is everything if nothing
 was learned; words without a letter are passed over; a text whose letters are in no such word is scored by
-the languages' shares of the training words; repeated rows are scored each; further columns are ignored.
+the languages' shares of the training words; repeated rows are scored each; a null doc_id keeps its
+prediction, and its ``held_out`` is null in the query (it may be learned from); further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +29,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import LOWER, SPACE, chunks, hash_words, lut, mix, split_words, spread, texts
+from .textcore import CHUNK_BYTES, LOWER, SPACE, chunks, hash_words, lut, mix, split_words, spread, texts
 
 BUCKETS = 1 << 15
-LANGUAGES = 256
 ROUNDS = 10
 SET_ROUNDS = 4
-MOST = 4
+#: Languages x bytes of text handled at once.
+CELLS = 8 << 21
 PENALTY = 1.0
 ALPHA = 0.1
 
@@ -95,10 +98,8 @@ def learn(docs: DataFrame, eligible: Column | None = None) -> dict:
     rows = docs.where("text is not null and lang is not null")
     rows = rows if eligible is None else rows.where(eligible)
     sums = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.limit(LANGUAGES * BUCKETS + 1).toArrow()
+    got = sums.toArrow()  # BUCKETS rows a language at most, whatever the documents
     langs = sorted(set(got.column("lang").to_pylist()))
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     count = np.zeros((len(langs), BUCKETS))
     index = {x: i for i, x in enumerate(langs)}
     count[[index[x] for x in got.column("lang").to_pylist()], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
@@ -133,16 +134,24 @@ def infer(model: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         theta = _em(like, np.full((k, len(some)), 1 / k, np.float32), words, begin, ROUNDS)
         rank = np.argsort(-theta, axis=0, kind="stable")
         best, found = np.full(len(some), -np.inf), np.zeros((k, len(some)))
-        for size in range(1, min(MOST, k) + 1):
-            part = np.zeros_like(theta)
-            np.put_along_axis(part, rank[:size], np.take_along_axis(np.maximum(theta, 1e-6), rank[:size], 0), 0)
+        price = PENALTY * np.log(np.maximum(words, 2))
+        live = np.arange(len(some))
+        for size in range(1, k + 1):
+            more = -price[live] * size > best[live]
+            if not more.all():
+                live, like = live[more], like[:, np.repeat(more, words[live])]
+            if not len(live):
+                break
+            own, at = words[live], np.cumsum(words[live]) - words[live]
+            part = np.zeros((k, len(live)), np.float32)
+            np.put_along_axis(part, rank[:size, live], np.take_along_axis(np.maximum(theta[:, live], 1e-6), rank[:size, live], 0), 0)
             part /= part.sum(0)
             if size > 1:
-                part = _em(like, part, words, begin, SET_ROUNDS)
-            mixed = (np.repeat(part, words, axis=1) * like).sum(0)
-            value = np.add.reduceat(np.log(np.maximum(mixed, 1e-37)), begin, dtype=np.float64) - PENALTY * size * np.log(np.maximum(words, 2))
-            better = value > best
-            best[better], found[:, better] = value[better], part[:, better]
+                part = _em(like, part, own, at, SET_ROUNDS)
+            mixed = (np.repeat(part, own, axis=1) * like).sum(0)
+            value = np.add.reduceat(np.log(np.maximum(mixed, 1e-37)), at, dtype=np.float64) - price[live] * size
+            better = value > best[live]
+            best[live[better]], found[:, live[better]] = value[better], part[:, better]
         chosen[some] = found.T
     chosen[count == 0] = model["share"]
     return chosen
@@ -155,7 +164,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = m.value["langs"]
         for b in batches:
-            for c in chunks(b.column("text")):
+            for c in chunks(b.column("text"), min(CHUNK_BYTES, max(1, CELLS // max(len(langs), 1)))):
                 share = infer(m.value, c.data, c.offs) if langs else np.zeros((c.rows, 1))
                 plain = np.concatenate([[0], np.cumsum(_LETTER[c.data] & (c.data < 128))])[c.offs]
                 raw = c.data.tobytes()

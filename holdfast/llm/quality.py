@@ -12,7 +12,8 @@ model is two vectors of ``BUCKETS`` floats. Every row is scored, by its whole te
 
 Defined cases: null and empty texts have no feature and get the score of the margin zero; labels whose
 quality is null are left out; label rows that repeat count once per distinct quality; without labels of
-both classes every score is 1 if no label 0 is known, else 0; further columns are ignored or kept.
+both classes every score is 1 if no label 0 is known, else 0; a null doc_id is scored like any other, is never
+a label's, and its ``held_out`` is null in the query; further columns are ignored or kept.
 """
 
 from __future__ import annotations

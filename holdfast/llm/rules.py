@@ -108,7 +108,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Log ratios target : raw by bucket."""
     ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__hf_id")).distinct()
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    flagged = narrow.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("__hf_id"), "left").select("text", F.col("__hf_id").isNotNull().alias("trusted"))
+    # one way of joining at every size: the texts move once by id, unsorted, against partitions of bare ids
+    flagged = narrow.where("doc_id is not null").join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("__hf_id"), "left").select("text", F.col("__hf_id").isNotNull().alias("trusted"))
     flagged = flagged.unionByName(narrow.where("doc_id is null").select("text", F.lit(False).alias("trusted")))  # not one task's in the join
     rows = flagged.mapInArrow(_counts, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
     target, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)

@@ -99,7 +99,7 @@ def contamination(rows, items, width=10):
         w = ALNUM.findall(lower(t))
         n = min(width, len(w))
         for p in range(len(w) - n + 1 if n else 0):
-            grams[tuple(w[p : p + n])].add(str(item))
+            grams[tuple(w[p : p + n])].add(item)
     sizes = {len(g) for g in grams}
     out = []
     for i, t in rows:
@@ -109,7 +109,7 @@ def contamination(rows, items, width=10):
                 if (k := grams.get(tuple(w[p : p + n]))):
                     hit |= set(range(p, p + n))
                     found |= k
-        out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+        out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(str(x) for x in found if x is not None))), bool(hit)))
     return out
 
 

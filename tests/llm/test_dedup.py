@@ -72,7 +72,7 @@ D = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 def items(spark, corpus):
     texts = {i: t for i, t in corpus if t}
-    found = [(1, texts[200][:400]), (2, "nothing of the kind is here or there at all in any text"), (3, "Two words"), (4, None), (5, ""), (10, texts[0][:150]), (11, texts[0][:150]), (12, "one")]
+    found = [(1, texts[200][:400]), (2, "nothing of the kind is here or there at all in any text"), (3, "Two words"), (4, None), (5, ""), (10, texts[0][:150]), (11, texts[0][:150]), (12, "one"), (10, texts[0][:150]), (12, texts[200][500:900]), (None, texts[3]), (None, texts[3]), (None, None)]
     return found, spark.createDataFrame([(i, t, 9) for i, t in found], "item_id long, text string, key int")
 
 
@@ -84,9 +84,30 @@ def test_contamination(spark, docs, corpus, empty, monkeypatch):
     assert clean.schema == docs.schema and clean.count() == sum(not r[-1] for r in want)
     assert decontaminate.contamination(empty, benchmark).count() == 0
     assert decontaminate.digest(decontaminate.contamination(docs, benchmark.limit(0))).where("contaminated").count() == 0
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)  # several passes, united
-    distinct = docs.dropDuplicates(["doc_id", "text"])
-    assert rows(decontaminate.digest(decontaminate.contamination(distinct, benchmark)), *D) == sorted(set(want), key=repr)
+    for size, alive in ((100, 2), (400, 100)):  # passes over several blocks, with and without a cut between them
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontaminate, "ALIVE", alive)
+        assert len(list(decontaminate._blocks(benchmark, 10))) > 2
+        assert rows(decontaminate.digest(decontaminate.contamination(docs, benchmark)), *D) == want
+    again = decontaminate.remove_contaminated(docs, benchmark)
+    assert again.schema == docs.schema and again.count() == clean.count()
+
+
+def test_share_of_hits_is_over_all_blocks(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:20] + ["x"] * 60))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([("a", " ".join(words[:12])), ("b", " ".join(words[20:34]))], "item_id string, text string")
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        left = lambda share: [r.doc_id for r in decontaminate.remove_contaminated(docs, benchmark, least_share=share).collect()]
+        assert left(0.0) == [] and left(0.6) == [2] and left(0.7) == [1, 2]
+
+
+def test_an_item_without_id_contaminates(spark):
+    words = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, words)], "doc_id long, text string")
+    got = rows(decontaminate.digest(decontaminate.contamination(docs, spark.createDataFrame([(None, words)], "item_id string, text string"))), *D)
+    assert got == [(1, 12, 12, 1, brute.sha(""), True)]
 
 
 def test_longest_matches(spark):

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import brute
@@ -113,11 +114,67 @@ def test_nothing_learned(spark, docs, empty):
     assert langid.predict(empty, model).count() == 0
 
 
-def test_too_many_languages(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LANGUAGES", 2)
-    many = spark.createDataFrame([(f"word {i}", f"l{i}") for i in range(4)], "text string, lang string")
-    with pytest.raises(ValueError):
-        langid.learn(many)
+def test_any_number_of_languages(spark):
+    many = spark.createDataFrame([(f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 3, f"l{i}") for i in range(300)], "text string, lang string")
+    model = langid.learn(many)
+    assert len(model["langs"]) == 300
+    docs = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * 9) for i in range(0, 300, 7)], "doc_id long, text string")
+    assert all(r.lang_pred == f"l{r.doc_id}" for r in langid.predict(docs, model).collect())
+
+
+ALPHABETS = ["abcdef", "ghijkl", "mnopqr", "stuvwx", "012yz3", "456789\u00e4"]
+
+
+def spoken(rng, k, n):
+    return " ".join("".join(rng.choice(ALPHABETS[k]) for _ in range(5)) + "\u00e9" for _ in range(n))
+
+
+def test_sets_of_more_than_four_languages(spark):
+    rng = random.Random(5)
+    model = langid.learn(spark.createDataFrame([(spoken(rng, k, 2000), f"l{k}") for k in range(6)], "text string, lang string"))
+    got = langid.predict(spark.createDataFrame([(1, " ".join(spoken(rng, k, 60) for k in range(6)))], "doc_id long, text string"), model).first()
+    assert set(got.languages) == {f"l{k}" for k in range(6)} and all(v == pytest.approx(1 / 6, abs=0.02) for v in got.languages.values())
+
+
+def plain_mixture(text, model):
+    """The same inference word by word and set by set, without pruning; proportions of the best set."""
+    log, k = model["log"].astype(float), len(model["langs"])
+    like = []
+    for w in text.encode().lower().split():
+        data, offs = np.frombuffer(w, np.uint8), np.array([0, len(w)])
+        bucket, _, which, _, n = langid.words_of(data, offs)
+        if n:
+            v = log[:, bucket].sum(1)
+            like.append(np.maximum(np.exp(v - v.max()), 1e-30))
+    like = np.array(like)
+
+    def em(theta, rounds):
+        for _ in range(rounds):
+            r = like * theta
+            theta = (r / r.sum(1, keepdims=True)).mean(0)
+        return theta
+
+    theta = em(np.full(k, 1 / k), langid.ROUNDS)
+    best = (-np.inf, None)
+    for size in range(1, k + 1):
+        part = np.zeros(k)
+        own = np.argsort(-theta, kind="stable")[:size]
+        part[own] = np.maximum(theta[own], 1e-6)
+        part /= part.sum()
+        part = em(part, langid.SET_ROUNDS) if size > 1 else part
+        value = np.log(np.maximum(like @ part, 1e-37)).sum() - langid.PENALTY * size * np.log(max(len(like), 2))
+        best = max(best, (value, part.tolist()), key=lambda x: x[0])
+    return best[1]
+
+
+def test_inference_against_plain_version(spark):
+    rng = random.Random(6)
+    model = langid.learn(spark.createDataFrame([(spoken(rng, k, 300), f"l{k}") for k in range(6)], "text string, lang string"))
+    texts_ = [" ".join(spoken(rng, k, rng.randint(1, 40)) for k in rng.sample(range(6), rng.randint(1, 6))) for _ in range(30)]
+    data = np.frombuffer("".join(texts_).encode(), np.uint8)
+    offs = np.cumsum([0, *(len(t.encode()) for t in texts_)])
+    for share, text in zip(langid.infer(model, data, offs), texts_):
+        assert share == pytest.approx(plain_mixture(text, model), abs=2e-3)
 
 
 def test_features_are_distinct_and_ordered():
