@@ -6,20 +6,25 @@ id and text, and a block sends each *bucket* (a range of hash values) one packed
 reduced in one task each: a block has summed its own entries first, so a key sends one entry per block at
 most, however many documents hold it. Answers are messages to blocks.
 
-Blocks and buckets follow the text's bytes (``BLOCK_BYTES`` of text each, ``LEAST`` at least), so neither
-grows with the corpus; for very large corpora raise ``block_bytes`` with the executors' memory, since
-messages number blocks times buckets.
+A block exchanges messages with every bucket, so n blocks send up to n x n messages a round. n is the root of
+the text's size over ``MESSAGE_BYTES``: there is one message for so many bytes of text, at every size until
+blocks reach ``BLOCK_BYTES`` (2 TB of text). Beyond that blocks keep their size, since a task holds one, and
+messages carry fewer entries each; there are never more messages than entries, which are in proportion to the
+text, so the exchange stays linear, with a row's overhead for each entry at worst.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 64 << 20
-LEAST = 512
+BLOCK_BYTES = 128 << 20
+MESSAGE_BYTES = 8 << 10
+LEAST = 16
 LAST = (1 << 63) - 1
 
 MESSAGE = "kind int, target long, origin long, payload binary"
@@ -75,6 +80,14 @@ def dealt(kind: int, origin: int, target: np.ndarray, *arrays: np.ndarray) -> pa
     return messages(kind, target[cut], origin, [packed(*(a[i:j] for a in arrays)) for i, j in zip(cut, ends)])
 
 
+def steps(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Differences of ascending values, from zero anew in every run of a group; small numbers compress."""
+    out = np.diff(value, prepend=value[:1] * 0)
+    begin, _ = groups(group)
+    out[begin] = value[begin]
+    return out
+
+
 def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the runs of equal values in an ordered key, and each entry's run."""
     fresh = np.ones(len(key), bool)
@@ -82,15 +95,20 @@ def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(fresh), np.cumsum(fresh) - 1
 
 
+def number(size: int, block_bytes: int = BLOCK_BYTES, message_bytes: int = MESSAGE_BYTES, least: int = LEAST) -> int:
+    """How many blocks, and buckets, a text of so many bytes is dealt into."""
+    return max(least, -(-size // block_bytes), math.isqrt(size // message_bytes))
+
+
 class Blocks:
     """``docs(doc_id, text)`` in blocks. d: doc_id with null as the last; null text reads as empty."""
 
-    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES, least: int = LEAST):
+    def __init__(self, docs: DataFrame, block_bytes: int = BLOCK_BYTES, message_bytes: int = MESSAGE_BYTES, least: int = LEAST):
         narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         #: Enough of a hash to tell anchors of this much text apart.
         self.key_bytes = min(8, -(-(int(size).bit_length() + 6) // 8))
-        self.count = max(least, -(-size // block_bytes))
+        self.count = number(size, block_bytes, message_bytes, least)
         self.docs = narrow.withColumn("d", F.coalesce("doc_id", F.lit(LAST))).withColumn("block", F.pmod(F.xxhash64("d", "text"), F.lit(self.count)))
         self.schema = "doc_id long, text string, d long, block long"
 
@@ -103,12 +121,12 @@ class Blocks:
         return self.docs.groupBy("block").applyInArrow(run, MESSAGE)
 
     def answer(self, inbox: DataFrame, f, schema: str = MESSAGE) -> DataFrame:
-        """f(block, table, inbox rows as (kind, payload)) -> batches, for every block."""
+        """f(block, table, inbox rows as (kind, origin, payload)) -> batches, for every block."""
 
         def run(table: pa.Table, inbox: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return _table([], schema)
-            mail = list(zip(inbox.column("kind").to_pylist(), inbox.column("payload").to_pylist()))
+            mail = list(zip(*(inbox.column(x).to_pylist() for x in ("kind", "origin", "payload"))))
             return _table(f(table.column("block")[0].as_py(), table, mail), schema)
 
         return self.docs.groupBy("block").cogroup(inbox.groupBy("target")).applyInArrow(run, schema)

@@ -1,18 +1,16 @@
 """Suffix-array deduplication with deep-shallow sorting.
 
 A byte string of ``width`` bytes that also starts in a document of a smaller id is removed. Blocks of
-documents first exchange the anchors of their windows (see ``anchors``): a window can only repeat where
-its anchor does, and where all runs of an anchor have one content that settles them. The remaining runs
-send their bytes, once per block and content, to the bucket of their anchor. A bucket is a shard of the
-suffix array: all its suffixes are ordered to ``width`` bytes by
+documents find the anchors of their windows that two documents hold (see ``anchors``) and send the bytes of
+their runs, once per block and content, to the bucket of the anchor. A bucket holds shards of the suffix
+array: all suffixes of a shard are ordered to ``width`` bytes by
 
 * *shallow*: multikey quicksort, one eight-byte symbol at a time, to ``SHALLOW`` bytes;
 * *deep*: groups with a longer common prefix are ordered by blind tries, kept as arrays: a group branches
   at the first symbol where its members differ, symbols in which all agree are skipped unsorted.
 
-Neighbours with ``width`` common bytes form a class, whose smallest document is answered to the blocks.
-Anchors with more than ``HOT`` runs (a string in a great share of all documents, with ever new contexts)
-would fill one shard; their windows are decided by 64-bit hashes dealt over all buckets, summed by block.
+Neighbours with ``width`` common bytes form a class, whose smallest document is answered to the blocks; the
+sort alone decides what is equal. The windows of a crowded anchor are dealt over all buckets by their content.
 
 Defined cases: null and empty texts have no bytes; a null doc_id ranks last; rows of one doc_id don't
 precede each other; repeated rows give repeated results; further columns are ignored.
@@ -21,22 +19,22 @@ precede each other; repeated rows give repeated results; further columns are ign
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .anchors import MANY, MIXED, NONE, SHARED, announce, inbox, lookup, runs, shared_anchors, summed, window_answers
-from .blocks import Blocks, dealt, gathered, groups, messages, packed, reduce
-from .textcore import chunks, covered, mix, spread, texts
+from .anchors import HOT, NONE, Exchange, Symbols
+from .blocks import Blocks, groups, reduce
+from .textcore import chunks, covered, texts
 
 WIDTH = 50
 GRAM = 16
 SHALLOW = 16
-HOT = 4096
 SHARD_BYTES = 1 << 20
 
-SPAN, WINDOW = 3, 4
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _U = np.uint64
 
@@ -95,140 +93,53 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, depth: int, shallow: int
     return whole, parts
 
 
-def _bytes(table: pa.Table):
+def _bytes(table: pa.Table) -> Iterator[Symbols]:
     d = table.column("d").to_numpy()
     for c in chunks(table.column("text"), SHARD_BYTES):
-        yield c, c.data.astype(_U), d[c.first : c.first + c.rows]
+        yield Symbols(c.data, c.offs, c.data.astype(_U), d[c.first : c.first + c.rows], None, None, c.first)
 
 
-def _symbols(table: pa.Table):
-    for c, x, doc in _bytes(table):
-        yield c.offs, x, doc
-
-
-def _named(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
-    return mix(anchor ^ mix(content))
-
-
-def _segments(width: int, gram: int, buckets: int, size: int):
-    """The second message: bytes of runs whose anchor has several contents, once per content; and window
-    hashes (to targets from ``buckets`` on) where an anchor has too many runs."""
-
-    def f(block, table, mail):
-        mixed, many = inbox(mail, MIXED, size)[0], inbox(mail, MANY, size)[0]
-        w, wd, seen = [], [], {}
-        keys, names, sizes, least, most, pieces = [], [], [], [], [], []
-        for c, x, doc in _bytes(table):
-            text, first, n, anchor, content, window = runs(x, c.offs, width, gram)
-            key = anchor >> _U(64 - 8 * size)
-            pick = np.flatnonzero(lookup(mixed, None, key, 1) == 0)
-            name, d = _named(anchor[pick], content[pick]), doc[text[pick]]
-            raw = c.data.tobytes()
-            for i, label, di in zip(pick.tolist(), name.tolist(), d.tolist()):
-                k = seen.get(label)
-                if k is None:
-                    seen[label] = len(keys)
-                    keys.append(int(key[i])), names.append(label), sizes.append(int(n[i])), least.append(di), most.append(di)
-                    pieces.append(raw[first[i] : first[i] + n[i] + width - 1])
-                else:
-                    least[k], most[k] = min(least[k], di), max(most[k], di)
-            pick = lookup(many, None, key, 1) == 0
-            at = np.repeat(first[pick], n[pick]) + spread(n[pick])
-            w.append(window[at]), wd.append(np.repeat(doc[text[pick]], n[pick]))
-        if keys:
-            target = (np.array(keys, _U) % _U(buckets)).astype(np.int64)
-            order = np.argsort(target, kind="stable")
-            names, sizes, least, most = np.array(names, _U)[order], np.array(sizes, np.int32)[order], np.array(least, np.int64)[order], np.array(most, np.int64)[order]
-            begin, _ = groups(target[order])
-            ends = np.append(begin[1:], len(order))
-            yield messages(0, target[order][begin], block, [packed(names[i:j], sizes[i:j], least[i:j], (most - least)[i:j]) + b"".join(pieces[k] for k in order[i:j]) for i, j in zip(begin, ends)])
-        if w and sum(map(len, w)):
-            key, low, high, _ = summed(np.concatenate(w), np.concatenate(wd))
-            yield dealt(1, block, (key % _U(buckets)).astype(np.int64) + buckets, key, low, high)
-
-    return f
-
-
-def classes(width: int, buckets: int):
-    """A shard of the suffix array: answers (segment, first window, windows, smallest document)."""
-    windows = window_answers(WINDOW)
-
-    def f(bucket, origins, payloads):
-        if bucket >= buckets:
-            yield from windows(bucket, origins, payloads)
-            return
-        kinds = [_U, np.int32, np.int64, np.int64]
-        name, size, least, span, origin = gathered(payloads, kinds)
-        text = b"".join(p[8 + 28 * int(np.frombuffer(p, np.int64, 1)[0]) :] for p in payloads)
-        data = np.frombuffer(text, np.uint8)
-        size = size.astype(np.int64)
-        begin = np.cumsum(size + width - 1) - (size + width - 1)
-        segment = np.repeat(np.arange(len(size)), size)
-        window = spread(size)
-        order, part = deep_shallow(data, begin[segment] + window, width)
+def classes(data: np.ndarray, offs: np.ndarray, n: np.ndarray, least: np.ndarray, most: np.ndarray, width: int) -> np.ndarray:
+    """For the windows of a shard's segments the smallest document of their class in the suffix array."""
+    segment = np.repeat(np.arange(len(n)), n)
+    starts = np.arange(len(segment)) + segment * (width - 1)  # each segment is longer than its windows by so much
+    order, part = deep_shallow(data, starts, width)
+    low = np.full(len(order), NONE)
+    if len(order):
         at, run = groups(part)
-        low = np.minimum.reduceat(least[segment][order], at)[run] if len(at) else part
-        first = np.empty(len(order), np.int64)
-        first[order] = low
-        hit = first < (least + span)[segment]
-        fresh = np.ones(len(first), bool)
-        fresh[1:] = (segment[1:] != segment[:-1]) | (first[1:] != first[:-1])
-        at, run = groups(np.cumsum(fresh))
-        length = np.diff(np.append(at, len(first)))
-        keep = hit[at] if len(at) else np.zeros(0, bool)
-        at, length = at[keep], length[keep]
-        yield dealt(SPAN, bucket, origins[origin[segment[at]]], name[segment[at]], window[at].astype(np.int32), length.astype(np.int32), first[at])
-
-    return f
+        low[order] = np.minimum.reduceat(least[segment[order]], at)[run]
+    return low
 
 
-def _removed(width: int, gram: int, size: int):
+def _removed(exchange: Exchange):
     def f(block, table, mail):
-        shared, windows, many = inbox(mail, SHARED, size), inbox(mail, WINDOW), inbox(mail, MANY, size)[0]
-        name, start, length, low, _ = gathered([p for k, p in mail if k == SPAN], [_U, np.int32, np.int32, np.int64])
-        order = np.argsort(name, kind="stable")
-        name, start, length, low = (v[order] for v in (name, start, length, low))
-        ids = table.column("doc_id").combine_chunks() if table.num_rows else None
-        for c, x, doc in _bytes(table):
-            text, first, n, anchor, content, window = runs(x, c.offs, width, gram)
-            key = anchor >> _U(64 - 8 * size)
-            d = doc[text]
-            pick = lookup(*shared, key, NONE) < d
-            at, count = [first[pick]], [n[pick]]
-            label = _named(anchor, content)
-            a, b = np.searchsorted(name, label, "left"), np.searchsorted(name, label, "right")
-            run = np.repeat(np.arange(len(first)), b - a)
-            span = np.repeat(a, b - a) + spread(b - a)
-            ok = low[span] < d[run]
-            at.append(first[run[ok]] + start[span[ok]]), count.append(length[span[ok]].astype(np.int64))
-            pick = lookup(many, None, key, 1) == 0
-            each = np.repeat(first[pick], n[pick]) + spread(n[pick])
-            ok = lookup(*windows, window[each], NONE) < np.repeat(d[pick], n[pick])
-            at.append(each[ok]), count.append(np.ones(int(ok.sum()), np.int64))
-            gone = covered(len(c.data), np.concatenate(at), np.concatenate(count) + width - 1)
+        ids = table.column("doc_id").combine_chunks()
+        for (data, offs, _, _, _, _, row), window, length in exchange.found(table, mail):
+            gone = covered(len(data), window, length + exchange.width - 1)
             total = np.concatenate([[0], np.cumsum(gone)])
             fresh = gone.copy()
             fresh[1:] &= ~gone[:-1]
-            heads = c.offs[:-1][np.diff(c.offs) > 0]
+            heads = offs[:-1][np.diff(offs) > 0]
             fresh[heads] = gone[heads]
-            spans = np.diff(np.concatenate([[0], np.cumsum(fresh)])[c.offs])
-            lost = np.diff(total[c.offs])
-            raw, digest = c.data.tobytes(), []
-            for i in range(c.rows):
-                p, q = c.offs[i], c.offs[i + 1]
-                digest.append(hashlib.sha256(c.data[p:q][~gone[p:q]].tobytes() if lost[i] else raw[p:q]).hexdigest())
-            yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.rows), pa.array(np.diff(c.offs)), pa.array(lost), pa.array(spans), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            spans = np.diff(np.concatenate([[0], np.cumsum(fresh)])[offs])
+            lost = np.diff(total[offs])
+            raw, digest = data.tobytes(), []
+            for i in range(len(lost)):
+                p, q = offs[i], offs[i + 1]
+                digest.append(hashlib.sha256(data[p:q][~gone[p:q]].tobytes() if lost[i] else raw[p:q]).hexdigest())
+            yield pa.RecordBatch.from_arrays([ids.slice(row, len(lost)), pa.array(np.diff(offs)), pa.array(lost), pa.array(spans), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return f
 
 
-def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
-    blocks = Blocks(docs)
-    size = blocks.key_bytes
-    first = reduce(blocks.send(announce(width, gram, blocks.count, size, _symbols)), shared_anchors(size, blocks.count, hot))
-    second = reduce(blocks.answer(first, _segments(width, gram, blocks.count, size)), classes(width, blocks.count))
-    return blocks.answer(first.unionByName(second), _removed(width, gram, size), RESULT)
+def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, **blocks: int) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes). blocks: sizes of
+    :class:`Blocks`."""
+    dealt_ = Blocks(docs, **blocks)
+    exchange = Exchange(width, gram, dealt_.count, dealt_.key_bytes, hot, _bytes)
+    first = reduce(dealt_.send(exchange.announce), exchange.shared)
+    second = reduce(dealt_.answer(first, exchange.send), exchange.decide(partial(classes, width=width)))
+    return dealt_.answer(first.unionByName(second), _removed(exchange), RESULT)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
+import functools
+
 import brute
-from holdfast.llm import decontaminate, lines, phrases, similar, simhash, suffixes
+import numpy as np
+import pyarrow as pa
+from holdfast.llm import anchors, decontaminate, lines, phrases, similar, simhash, suffixes
 from holdfast.llm.components import components
 from pyspark.sql import functions as F
 
@@ -18,7 +22,9 @@ P = ("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def test_phrases(docs, corpus, empty):
-    assert rows(phrases.dedup_phrases(docs), *P) == by_repr(brute.phrases(corpus))
+    want = by_repr(brute.phrases(corpus))
+    assert rows(phrases.dedup_phrases(docs), *P) == want
+    assert rows(phrases.dedup_phrases(docs, hot=2), *P) == want  # most anchors are crowded: windows travel alone
     assert phrases.dedup_phrases(empty).count() == 0
 
 
@@ -26,12 +32,68 @@ def test_phrases_of_other_width(docs, corpus):
     assert rows(phrases.dedup_phrases(docs, 5, 2), *P) == by_repr(brute.phrases(corpus, 5))
 
 
-def test_wide_alphabet():
-    import numpy as np
+def test_phrases_in_many_small_shards(docs, corpus, monkeypatch):
+    monkeypatch.setattr(anchors, "SHARD", 1)
+    want = by_repr(brute.phrases(corpus))
+    assert rows(phrases.dedup_phrases(docs, least=3), *P) == want
+    assert rows(phrases.dedup_phrases(docs, block_bytes=300), *P) == want  # more blocks than documents
+
+
+def test_the_automaton_decides(docs, corpus, monkeypatch):
+    """Without its automata the operator removes nothing."""
+
+    class Nothing:
+        def add_word(self, *_):
+            pass
+
+        def make_automaton(self):
+            pass
+
+        def iter(self, _):
+            return []
+
+    short = [r for r in corpus if r[0] != 505]
+    data, offs, x, doc, *_ = next(phrases._words(pa.table({"text": [t for _, t in short], "d": [brute.rank(i) for i, _ in short]})))
+    monkeypatch.setattr(phrases.ahocorasick, "Automaton", Nothing)
+    assert not phrases.repeated(x, offs, 20).any()
+    text = ("a b c d e f " * 4).encode()
+    segment = np.frombuffer(text * 2, np.uint8)
+    args = segment, np.array([0, len(text), 2 * len(text)]), np.array([5, 5]), np.array([1, 2]), np.array([1, 2])
+    assert (phrases.matched(*args, 20) == anchors.NONE).all()
+    monkeypatch.undo()
+    assert (phrases.matched(*args, 20) == 1).all() and phrases.repeated(x, offs, 20).any()
+
 
+def test_equal_hashes_do_not_remove(docs, corpus, monkeypatch):
+    """Names and contents only choose what meets: with one name for all of an anchor the texts still decide."""
+    plain = anchors.runs
+
+    def blurred(x, offs, width, gram):
+        text, first, n, anchor, content, window = plain(x, offs, width, gram)
+        return text, first, n, np.full_like(anchor, 7), content, window
+
+    monkeypatch.setattr(anchors, "runs", blurred)  # every anchor is one: all segments meet in one shard
+    short = [r for r in corpus if r[0] != 505]
+    data, offs, x, doc, starts, ends, _ = next(phrases._words(pa.table({"text": [t for _, t in short], "d": [brute.rank(i) for i, _ in short]})))
+    table = pa.table({"text": [t for _, t in short], "d": [brute.rank(i) for i, _ in short], "doc_id": pa.array([i for i, _ in short], pa.int64())})
+    for module, read, method, want in ((phrases, phrases._words, phrases.matched, brute.phrases(short)), (suffixes, suffixes._bytes, suffixes.classes, brute.suffixes(short))):
+        width, gram = module.WIDTH, module.GRAM
+        e = anchors.Exchange(width, gram, 1, 8, 1 << 40, read)
+        first = [m for b in e.announce(0, table) for m in b.to_pylist()]
+        second = [m for b in e.shared(0, np.zeros(len(first), np.int64), [m["payload"] for m in first]) for m in b.to_pylist()]
+        mail = [(m["kind"], m["origin"], m["payload"]) for m in second]
+        sent = [m for b in e.send(0, table, mail) for m in b.to_pylist()]
+        spans = [m for b in e.decide(functools.partial(method, width=width))(0, np.zeros(len(sent), np.int64), [m["payload"] for m in sent]) for m in b.to_pylist()]
+        got = [r for b in module._removed(e)(0, table, mail + [(m["kind"], m["origin"], m["payload"]) for m in spans]) for r in zip(*b.to_pydict().values())]
+        assert by_repr(got) == by_repr(want)
+
+
+def test_wide_alphabet():
     x = np.arange(1_000_002, dtype=np.uint64)
-    code, wide = phrases._encoded(x)
-    assert wide == 2 and len(code) == 2 * len(x) and code[:4] != code[2:6]
+    code, wide = phrases._encoded(x, np.array([0, 5, len(x)]))
+    assert wide == 2 and len(code) == 2 * (len(x) + 2) and code[:4] != code[2:6] and code[10:12] == "\x01\x01"
+    phrase, place = phrases.occurrences(np.concatenate([x, x[5:]]), np.array([0, 5, len(x), 2 * len(x) - 5]), np.array([7]), np.array([3]))
+    assert sorted(place.tolist()) == [7, len(x) + 2] and phrase.tolist() == [0, 0]
 
 
 S = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -42,7 +104,7 @@ def test_suffixes(docs, corpus, empty):
     few = docs.where("doc_id is null or doc_id <> 505")
     want = by_repr(brute.suffixes(small))
     assert rows(suffixes.dedup_bytes(few), *S) == want
-    assert rows(suffixes.dedup_bytes(few, hot=2), *S) == want  # all anchors are decided by window hashes
+    assert rows(suffixes.dedup_bytes(few, hot=2), *S) == want  # most anchors are crowded: windows travel alone
     assert suffixes.dedup_bytes(empty).count() == 0
 
 
@@ -51,6 +113,23 @@ def test_suffixes_of_other_width(docs, corpus):
     assert rows(suffixes.dedup_bytes(docs.where("doc_id is null or doc_id <> 505"), 21, 6), *S) == by_repr(brute.suffixes(small, 21))
 
 
+def test_suffixes_in_many_small_shards(docs, corpus, monkeypatch):
+    small = [r for r in corpus if r[0] not in (505, 402, 403)]
+    few = docs.where("doc_id is null or doc_id not in (505, 402, 403)")
+    monkeypatch.setattr(anchors, "SHARD", 1)
+    assert rows(suffixes.dedup_bytes(few, block_bytes=400), *S) == by_repr(brute.suffixes(small))
+
+
+def test_the_sort_decides(monkeypatch):
+    """Without the sort's classes nothing is removed, copies included."""
+    text = np.frombuffer(bytes(range(60)) * 2, np.uint8)
+    args = text, np.array([0, 60, 120]), np.array([11, 11]), np.array([1, 2]), np.array([1, 2])
+    assert (suffixes.classes(*args, 50) == 1).all()
+    monkeypatch.setattr(suffixes, "deep_shallow", lambda data, starts, depth: (np.arange(len(starts)), np.arange(len(starts))))
+    low = suffixes.classes(*args, 50)
+    assert not len(anchors.stretches(np.arange(2), args[2], args[4], low)[0])
+
+
 L = ("doc_id", "n_lines", "n_removed", "kept_sha256")
 
 

@@ -104,6 +104,27 @@ def test_messages():
     assert [(m["target"], m["origin"], blocks.unpacked(m["payload"], [np.uint64])[0].tolist()) for m in dealt] == [(1, 9, [1 << 40]), (2, 9, [5, 7])]
 
 
+def test_messages_grow_with_the_text():
+    """One message for so many bytes of text, although every block writes to every bucket."""
+    for size in (1 << 28, 1 << 32, 1 << 36, 1 << 40):
+        assert abs(blocks.number(size) ** 2 * blocks.MESSAGE_BYTES / size - 1) < 0.01
+    assert blocks.number(100 << 40) * blocks.BLOCK_BYTES == 100 << 40 and blocks.number(0) == blocks.LEAST
+
+
+def test_messages_never_outnumber_entries():
+    """Blocks far smaller than their messages want: what grows with the square is cut by what there is to send."""
+    rng = random.Random(1)
+    texts = [bytes(rng.randrange(97, 123) for _ in range(300)).decode() for _ in range(120)]
+    for count in (50, 700, 5000):
+        e = anchors.Exchange(50, 16, count, 8, 4096, suffixes._bytes)
+        sent = entries = 0
+        for i, t in enumerate(texts):
+            for m in e.announce(i, pa.table({"text": [t], "d": [i]})):
+                sent += m.num_rows
+                entries += sum(int(np.frombuffer(p.as_py(), np.int64, 1)[0]) for p in m.column("payload"))
+        assert sent <= entries <= 120 * 301 and sent <= 120 * count
+
+
 def test_best_fit_respects_every_capacity():
     rng = random.Random(5)
     for rule in ("norm", "dot"):
