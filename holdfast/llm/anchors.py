@@ -33,8 +33,8 @@ _U = np.uint64
 SHARED, CROWDED, SPAN = 0, 1, 2
 HOT = 4096
 NONE = np.iinfo(np.int64).max
-#: Windows of a shard, at least one anchor's.
-SHARD = 1 << 20
+#: Windows of a shard, at least one anchor's; arrays of this length stay in a core's cache.
+SHARD = 1 << 16
 
 
 def runs(x: np.ndarray, offs: np.ndarray, width: int, gram: int):

@@ -35,7 +35,8 @@ from .textcore import SPACE, chunks, covered, hash_words, mix, roll, split_words
 
 WIDTH = 20
 GRAM = 8
-SHARD_BYTES = 1 << 20
+#: Text of a block that is handled at once; its arrays stay in a core's cache.
+SHARD_BYTES = 1 << 18
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _U = np.uint64

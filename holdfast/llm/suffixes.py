@@ -33,7 +33,8 @@ from .textcore import chunks, covered, texts
 WIDTH = 50
 GRAM = 16
 SHALLOW = 16
-SHARD_BYTES = 1 << 20
+#: Text of a block that is handled at once; its arrays stay in a core's cache.
+SHARD_BYTES = 1 << 16
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _U = np.uint64
