@@ -15,9 +15,9 @@ scattered edits are found so; a passage added, cut or replaced in one place can
 The second misses none. Under one order of all shingles, two sets of at least ``similarity`` share a shingle
 among the first ``n - ceil(similarity x n) + 1`` of each, so these prefixes are exchanged by shingle, and of
 every shingle's group all pairs go on whose sizes and places allow the similarity and which verified edges
-have not put in one class yet; counts by 256 hash values bound what a pair can have in common, and few are left
-to verify. The order puts shingles of many texts last, so that common passages are in few
-prefixes; it decides the cost, never the result.
+have not put in one class yet; counts by hash values bound what a pair can have in common, and few are left
+to verify. The order puts shingles last that are common in a sample of the texts, so that common passages are
+in few prefixes; it decides the cost, never the result.
 
 Defined cases: texts of equal lower-case words are one text (one of none is the empty text); fewer words
 than a shingle are one shingle; null reads as empty; repeated rows share a class; class ids are the smallest
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, spread_names
@@ -45,12 +45,16 @@ DISTANCE = 36
 #: Groups up to this size give all their pairs, larger ones a spanning forest.
 SMALL = 8
 BUCKETS = 1024
-#: Counters (a power of two) by which the prefixes' order tells common shingles, and how many of them are kept.
-HEAT, HOTTEST = 1 << 18, 1 << 16
+#: Texts whose shingles are counted to tell common ones, how many of the common ones are kept at most, and the
+#: counters (a power of two) in which they are. They decide the prefixes' order, so the cost, never the result.
+SAMPLE, HOTTEST, HEAT = 8192, 1 << 20, 1 << 22
 #: Pairs that are tested at once.
 BLOCK = 1 << 20
-#: Counters of a set's sketch, which bounds what two sets can have in common.
+#: Counters of the sketch of a set of up to ``4 x SKETCH`` shingles; more for larger ones. Sketches bound what two
+#: sets can have in common.
 SKETCH = 256
+#: Bits of the filter by which the texts are chosen whose shingles are wanted (8 MB, however many there are).
+BITS = 1 << 26
 
 _U = np.uint64
 
@@ -62,16 +66,24 @@ def _words(column: pa.Array):
         yield c, hash_words(data, starts, ends), offs
 
 
-def signatures(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the word sequence, LANES x 64 bits) of each text."""
+def nodes(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Hash of the word sequence of each text."""
+    n = np.diff(offs)
+    key = n.astype(_U)
+    some = np.flatnonzero(n)
+    if len(some):
+        key[some] += np.add.reduceat(mix(h + spread(n).astype(_U) * _U(0x9E3779B97F4A7C15)), offs[:-1][some])
+    return mix(key)
+
+
+def signatures(h: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """LANES x 64 bits of each text."""
     n = np.diff(offs)
     rows = len(n)
     text = np.repeat(np.arange(rows), n)
-    key = n.astype(_U)
     some = np.flatnonzero(n)
     out = np.zeros((rows, LANES), _U)
     if len(some):
-        key[some] += np.add.reduceat(mix(h + spread(n).astype(_U) * _U(0x9E3779B97F4A7C15)), offs[:-1][some])
         order = np.lexsort((h, text))
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
@@ -82,7 +94,7 @@ def signatures(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             bits = np.unpackbits(mix(h + _U(7919 * lane + 1)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
             out[some, lane] = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return mix(key), out
+    return out
 
 
 def shingles(h: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndarray]:
@@ -98,11 +110,18 @@ def shingles(h: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndarray]:
     return out
 
 
-def _signed_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for c, h, offs in _words(b.column("text")):
-            key, sig = signatures(h, offs)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(c.first, c.rows), pa.array(signed(key)), pa.array([r.tobytes() for r in sig.astype("<u8")], pa.binary())], ["doc_id", "node", "sig"])
+SIGNED = "doc_id long, node long, sig binary, size int, sketch binary"
+
+
+def _signed_table(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, h, offs in _words(b.column("text")):
+                sets = shingles(h, offs, words)
+                columns = [signed(nodes(h, offs)), pa.array([r.tobytes() for r in signatures(h, offs).astype("<u8")], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(c.first, c.rows), *map(pa.array, columns)], ["doc_id", "node", "sig", "size", "sketch"])
+
+    return run
 
 
 def _far(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,30 +244,44 @@ def candidate_edges(distinct: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return moved.groupBy("bucket").applyInArrow(_joined, "u long, v long").distinct()
 
 
-def _shingled(words: int):
+def _flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    return at, signed(np.concatenate(sets)) if sets and at[-1] else np.zeros(0, np.int64)
+
+
+def _shingled(words: int, wanted):
+    """The sets of the texts that the filter lets pass, and of those without doc_id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c, h, offs in _words(b.column("text")):
-                key, _ = signatures(h, offs)
-                sets = shingles(h, offs, words)
-                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = signed(np.concatenate(sets)) if sets and at[-1] else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "shingles"])
+            place = b.column("place").fill_null(0).to_numpy(zero_copy_only=False)
+            ok = (wanted.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool) | b.column("place").is_null().to_numpy(zero_copy_only=False)
+            for c, h, offs in _words(b.filter(pa.array(ok)).column("text")):
+                at, flat = _flat(shingles(h, offs, words))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(nodes(h, offs))), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["node", "shingles"])
 
     return run
 
 
-def _counted(words: int):
-    """Per task: the counters far above their mean."""
+def _place(id: Column) -> Column:
+    return F.when(id.isNotNull(), F.pmod(F.xxhash64(id), F.lit(BITS)))
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for the place of every id of the first column; other ids share a bit now and then."""
+    at = ids.where(ids[0].isNotNull()).select((_place(ids[0]) + 1).alias("at"))
+    found = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toArrow()
+    out = np.zeros((BITS >> 15, 4096), np.uint8)
+    for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("bits").to_pylist()):
+        out[bucket - 1] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
 
+def _tokens(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(HEAT, np.int64)
         for b in batches:
             for _, h, offs in _words(b.column("text")):
-                for s in shingles(h, offs, words):
-                    np.add.at(count, _counter(s), 1)
-        some = np.flatnonzero(count > 4 * count.mean() + 8)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["counter", "count"])
+                yield pa.RecordBatch.from_arrays([pa.array(_flat(shingles(h, offs, words))[1])], ["token"])
 
     return run
 
@@ -257,12 +290,15 @@ def _counter(s: np.ndarray) -> np.ndarray:
     return (s & _U(HEAT - 1)).astype(np.int64)
 
 
-def heat(narrow: DataFrame, words: int) -> np.ndarray:
-    """Power of two of the texts that hold a counter's shingles, 0 for those that are not common."""
-    found = narrow.select("text").mapInArrow(_counted(words), "counter long, count long").groupBy("counter").agg(F.sum("count").alias("count"))
-    rows = found.orderBy(F.desc("count"), "counter").limit(HOTTEST).toArrow()
+def heat(narrow: DataFrame, distinct: DataFrame, words: int) -> np.ndarray:
+    """By counter the power of two of the texts of a sample that hold a shingle, 0 for shingles of less than three.
+
+    The sample are the texts of the smallest ``node``, a hash; ids of more texts than one bring them all."""
+    ids = distinct.where("rep is not null").orderBy("node").select(F.col("rep").alias("__hf_id")).limit(SAMPLE)
+    found = narrow.join(F.broadcast(ids), F.col("doc_id") == F.col("__hf_id"), "left_semi").select("text").mapInArrow(_tokens(words), "token long")
+    rows = found.groupBy("token").agg(F.count("*").alias("count")).where("count > 2").orderBy(F.desc("count"), "token").limit(HOTTEST).toArrow()
     out = np.zeros(HEAT, np.uint8)
-    out[rows.column("counter").to_numpy()] = np.log2(rows.column("count").to_numpy()).astype(np.uint8)
+    np.maximum.at(out, _counter(rows.column("token").to_numpy().view(_U)), np.log2(rows.column("count").to_numpy()).astype(np.uint8))
     return out
 
 
@@ -274,12 +310,15 @@ def prefix(s: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
 
 def sketch(s: np.ndarray) -> np.ndarray:
     """How many shingles of a set fall on each counter, up to 255."""
-    return np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+    bits = int(np.log2(SKETCH)) + max(0, int(np.ceil(np.log2(max(len(s), 1) / (4 * SKETCH)))))
+    return np.minimum(np.bincount((s >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
 def can_be_alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sets of n and m shingles with the sketches x and y can be as similar: what they have in
     common is at most the sum of the lesser counts, and what the counters could not hold."""
+    size = min(x.shape[1], y.shape[1])
+    x, y = (v.reshape(len(v), size, -1).sum(2, dtype=np.int32) for v in (x, y))  # neighbours of the finer one together
     beyond = np.minimum(n - x.sum(1, dtype=np.int64), m - y.sum(1, dtype=np.int64))
     common = np.minimum(x, y).sum(1, dtype=np.int64) + beyond
     return (1 + similarity) * common >= similarity * (n + m) - 1e-6
@@ -290,9 +329,15 @@ def _possible(similarity: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in ("x", "y"))
+            x, y = (np.array(b.column(k).to_pylist(), object) for k in ("x", "y"))
             n, m = (b.column(k).to_numpy().astype(np.int64) for k in ("n", "m"))
-            yield b.select(["u", "v"]).filter(pa.array(can_be_alike(x, y, n, m, similarity)))
+            sizes = np.array([(len(p), len(q)) for p, q in zip(x, y)])
+            ok = np.zeros(b.num_rows, bool)
+            for p, q in np.unique(sizes, axis=0):
+                at = np.flatnonzero((sizes == (p, q)).all(1))
+                part = (np.frombuffer(b"".join(v[at]), np.uint8).reshape(len(at), -1) for v in (x, y))
+                ok[at] = can_be_alike(*part, n[at], m[at], similarity)
+            yield b.select(["u", "v"]).filter(pa.array(ok))
 
     return run
 
@@ -301,11 +346,9 @@ def _prefixed(words: int, similarity: float, level):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c, h, offs in _words(b.column("text")):
-                key, _ = signatures(h, offs)
                 sets = shingles(h, offs, words)
                 first = [prefix(s, level.value, similarity).tobytes() if len(s) else b"" for s in sets]
-                counts = [sketch(s).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.binary()), pa.array(counts, pa.binary())], ["node", "size", "first", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(nodes(h, offs))), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.binary())], ["node", "size", "first"])
 
     return run
 
@@ -385,22 +428,29 @@ def _paired(similarity: float):
     return run
 
 
-def remaining_edges(narrow: DataFrame, linked: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(u, v) of every pair that can be alike and is not in one component of ``linked(node, component)``."""
-    level = narrow.sparkSession.sparkContext.broadcast(heat(narrow, words))
-    first = narrow.select("text").mapInArrow(_prefixed(words, similarity, level), "node long, size int, first binary, sketch binary").dropDuplicates(["node"]).checkpoint()
+def possible(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) whose sketches allow the similarity; the others are not alike."""
+    x = distinct.select(F.col("node").alias("u"), F.col("size").alias("n"), F.col("sketch").alias("x"))
+    y = distinct.select(F.col("node").alias("v"), F.col("size").alias("m"), F.col("sketch").alias("y"))
+    near = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - F.lit(1e-6)
+    return pairs.join(x, "u").join(y, "v").where(near).select("u", "v", "n", "m", "x", "y").mapInArrow(_possible(similarity), "u long, v long")
+
+
+def remaining_edges(narrow: DataFrame, distinct: DataFrame, linked: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(u, v) of every pair that may share a prefix and is not in one component of ``linked(node, component)``."""
+    level = narrow.sparkSession.sparkContext.broadcast(heat(narrow, distinct, words))
+    first = narrow.select("text").mapInArrow(_prefixed(words, similarity, level), "node long, size int, first binary").dropDuplicates(["node"])
     named = first.join(linked.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
     posted = named.select("node", F.coalesce("component", "node").alias("component"), "size", "first").mapInArrow(_postings, POSTING)
-    pairs = posted.repartition("token").sortWithinPartitions("token").mapInArrow(_paired(similarity), "u long, v long").distinct()
-    x = first.select(F.col("node").alias("u"), F.col("size").alias("n"), F.col("sketch").alias("x"))
-    y = first.select(F.col("node").alias("v"), F.col("size").alias("m"), F.col("sketch").alias("y"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "n", "m", "x", "y").mapInArrow(_possible(similarity), "u long, v long")
+    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(_paired(similarity), "u long, v long").distinct()
 
 
 def verified(edges: DataFrame, narrow: DataFrame, distinct: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges whose texts are alike."""
-    wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct.select("node", "rep"), "node").select(F.col("rep").alias("__hf_id")).distinct()
-    sets = narrow.join(wanted, F.col("doc_id") == F.col("__hf_id"), "left_semi").select("text").mapInArrow(_shingled(words), "node long, shingles array<long>").dropDuplicates(["node"])
+    """The edges whose texts are alike. Only the sets of texts with an edge move: the documents are read through
+    a filter of fixed size, and what it lets pass beyond them finds no edge."""
+    wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct.select("node", "rep"), "node").select("rep")
+    bits = narrow.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    sets = narrow.select("text", _place(F.col("doc_id")).alias("place")).mapInArrow(_shingled(words, bits), "node long, shingles array<long>").dropDuplicates(["node"])
     x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     alike = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)
@@ -411,12 +461,13 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     """(doc_id, node, class_id) of every row of ``docs``; node tells different texts apart."""
     shared_dir(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = narrow.mapInArrow(_signed_table, "doc_id long, node long, sig binary").checkpoint()
-    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    rows = narrow.mapInArrow(_signed_table(words), SIGNED).checkpoint()
+    distinct = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("sig", "size", "sketch")), F.count("*").alias("copies")).checkpoint()
     total, texts = rows.count(), distinct.count()
-    edges = candidate_edges(distinct.select("node", "sig"), max(BUCKETS, texts // 100_000)).coalesce(texts // 200_000 + 1).checkpoint()
+    files = texts // 200_000 + 1
+    edges = possible(candidate_edges(distinct.select("node", "sig"), max(BUCKETS, texts // 100_000)), distinct, similarity).coalesce(files).checkpoint()
     quick = components(verified(edges, narrow, distinct, words, similarity), texts).checkpoint()
-    edges = remaining_edges(narrow, quick, words, similarity).checkpoint()
+    edges = possible(remaining_edges(narrow, distinct, quick, words, similarity), distinct, similarity).checkpoint()
     found = verified(edges, narrow, distinct, words, similarity)
     linked = components(quick.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found), texts).withColumnRenamed("node", "__node")
     member = distinct.select("node", "rep", "copies").join(linked, F.col("node") == F.col("__node"), "left").select("node", "rep", "copies", F.coalesce("component", "node").alias("component"))
