@@ -471,8 +471,8 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     found = verified(edges, narrow, distinct, words, similarity)
     linked = components(quick.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found), texts).withColumnRenamed("node", "__node")
     member = distinct.select("node", "rep", "copies").join(linked, F.col("node") == F.col("__node"), "left").select("node", "rep", "copies", F.coalesce("component", "node").alias("component"))
-    least = member.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = member.join(least, "component").select("node", "class_id", "copies")
+    least = member.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("copies"))
+    named = spread_names(member, least, "component", "class_id", texts).select("node", "class_id", "copies")
     return spread_names(rows.select("doc_id", "node"), named, "node", "class_id", total)
 
 
