@@ -22,6 +22,19 @@ def size_of(text: str) -> int:
     return int(Decimal(m[1]) * SIZE_UNITS[m[2].lower()] + Decimal("0.5"))
 
 
+def limit_of(text: str) -> int:
+    """:func:`parse_limit` for one value, percentages of this machine's memory; malformed text is an error."""
+    import os
+    import re
+
+    m = re.fullmatch(r"\s*\+?([0-9]+)\s*([A-Za-z%]*)\s*", text)
+    if m and m[2] == "%" and 1 <= int(m[1]) <= 100:
+        return os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") * int(m[1]) // 100
+    if not m or m[2] not in LIMIT_UNITS or int(m[1]) * LIMIT_UNITS[m[2]] >= 2**63:
+        raise ValueError(f"malformed limit {text!r}")
+    return int(m[1]) * LIMIT_UNITS[m[2]]
+
+
 def _factor(unit: Column, table: dict[str, int]) -> Column:
     out = F
     for name, value in table.items():

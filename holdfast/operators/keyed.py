@@ -33,6 +33,16 @@ def meta_value(meta: DataFrame, key: str) -> str | None:
     return row.value if row else None
 
 
+def meta_dump(meta: DataFrame) -> DataFrame:
+    """All of the metadata by key."""
+    return meta.select("key", "value").orderBy("key")
+
+
+def clear_meta(meta: DataFrame, prefix: str = "") -> DataFrame:
+    """Without the keys that begin so (without any, by default)."""
+    return meta.where(~F.col("key").startswith(prefix))
+
+
 def begin_session(sessions: DataFrame, archive_offset: int) -> DataFrame:
     number = sessions.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
     row = number.select(F.col("id").cast("long"), F.lit(archive_offset).cast("long").alias("archive_offset"), F.lit(SESSION_OPEN).alias("finalized"), F.current_timestamp().alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"))

@@ -21,10 +21,18 @@ def restore_plan(files: DataFrame, phases: tuple[str, ...] = ("unarchived", "reh
 
 def without_payload(files: DataFrame, phases: tuple[str, ...] = ("unarchived", "rehashed")) -> DataFrame:
     """Files to place whose canonical is no payload."""
-    payloads = files.where(is_self_canonical() & is_file()).select(F.col("id").alias("__c"))
+    payloads = files.where(is_self_canonical() & is_file() & F.col("sha1").isNotNull()).select(F.col("id").alias("__c"))
     return files.where(in_phase(*phases) & is_file()).join(payloads, F.col("canonical_id") == F.col("__c"), "left_anti")
 
 
+def unrestored(files: DataFrame) -> DataFrame:
+    """Regular files that no pattern left out and that no payload can restore: their content was never read, their
+    canonical is no payload, or nothing vouches for it."""
+    wanted = files.where(is_file() & F.col("exclusion_id").isNull())
+    waiting = wanted.where(~in_phase("unarchived", "rehashed", "at_destination", "permissions_restored"))
+    return waiting.unionByName(without_payload(wanted))
+
+
 def stage_plan(files: DataFrame, root: str, sparse_dir: str) -> DataFrame:
     """(id, member, source): which file becomes which member; sparse ones come from the sparse copies."""
     rows = files.where(is_self_canonical() & is_file() & F.col("sha1").isNotNull())

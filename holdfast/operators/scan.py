@@ -29,8 +29,8 @@ def members(df: DataFrame) -> DataFrame:
 
 
 def misplaced(df: DataFrame, force: bool = False) -> DataFrame:
-    """(member_index, name, problem) of members that stop a scan."""
-    rows = members(df)
+    """(member_index, name, problem) of members that stop a scan; ``df`` may come from :func:`members`."""
+    rows = df if "kind" in df.columns else members(df)
     first = F.col("member_index") == 0
     problem = (
         F.when(F.col("kind") == "other", "neither a catalog nor a content id")
@@ -43,13 +43,22 @@ def misplaced(df: DataFrame, force: bool = False) -> DataFrame:
 def confirmations(df: DataFrame) -> DataFrame:
     """(payload_id, member_index, snapshot_index): for each payload member the next snapshot, null if none.
 
-    An archive (column ``archive``, or one for all rows) is a sequence by nature: it was written by one
-    session after another and is read in order, so the window runs by archive."""
-    rows = members(df)
-    whose = [F.col("archive")] if "archive" in df.columns else [F.lit(0)]
-    ahead = Window.partitionBy(*whose).orderBy(F.desc("member_index")).rowsBetween(Window.unboundedPreceding, -1)
-    place = F.min(F.when(F.col("kind") == "snapshot", F.col("member_index"))).over(ahead)
-    return rows.withColumn("snapshot_index", place).where("kind = 'payload'").select("payload_id", "member_index", "snapshot_index", *(["archive"] if "archive" in df.columns else []))
+    Members are range-partitioned in the order of archive and index; the first snapshot of every partition is
+    what the partitions before it look ahead to, so no archive is one task's whole."""
+    from ..session import checkpointed
+
+    own = members(df).withColumn("__archive", F.coalesce(F.col("archive") if "archive" in df.columns else F.lit(None), F.lit("")).cast("string"))
+    mark = F.when(F.col("kind") == "snapshot", F.col("member_index"))
+    dealt = checkpointed(own.repartitionByRange("__archive", "member_index").withColumn("__part", F.spark_partition_id()))
+    firsts = dealt.where(mark.isNotNull()).groupBy("__archive", "__part").agg(F.min(mark).alias("__first"))
+    # of every partition and archive the first snapshot after it: at most one row for both of them
+    later = firsts.select(F.col("__archive").alias("__a"), F.col("__part").alias("__p"), F.col("__first").alias("__f"))
+    parts = dealt.select("__archive", "__part").distinct()
+    beyond = parts.join(later, (F.col("__archive") == F.col("__a")) & (F.col("__p") > F.col("__part"))).groupBy("__archive", "__part").agg(F.min("__f").alias("__next"))
+    ahead = Window.partitionBy("__part", "__archive").orderBy(F.desc("member_index")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("__here", F.min(mark).over(ahead)).join(beyond, ["__archive", "__part"], "left")
+    out = placed.withColumn("snapshot_index", F.coalesce("__here", "__next")).where("kind = 'payload'")
+    return out.select("payload_id", "member_index", "snapshot_index", *(["archive"] if "archive" in df.columns else []))
 
 
 @dataclass(frozen=True)
@@ -109,15 +118,15 @@ def completeness(counts, from_footer: bool, force: bool = False) -> list[str]:
     """Warnings on the counts of ``reports.extraction_counts``; missing payloads are an error unless forced."""
     out = []
     if counts.missing:
-        text = f"{counts.missing} canonical file(s) were written but not extracted"
+        text = f"payloads of {counts.missing} canonical file(s) are not in the archive, though the catalog has them as written"
         if not force:
             raise ScanError(text)
         out.append(text)
-    if counts.unconfirmed:
-        if from_footer:
-            out.append(f"{counts.unconfirmed} extracted file(s) were not promoted; the footer's catalog was trusted")
-        elif counts.confirmed:
-            out.append(f"{counts.unconfirmed} extracted file(s) lack confirmation; the archive's tail is incomplete")
-        else:
-            out.append(f"{counts.unconfirmed} extracted file(s) lack confirmation and nothing was confirmed; the archive is likely incomplete")
+    n = counts.unconfirmed
+    if n and from_footer:
+        out.append(f"no snapshot vouches for {n} file(s); they rest on the footer's catalog alone")
+    elif n and counts.confirmed:
+        out.append(f"no snapshot vouches for {n} file(s); the end of the archive seems to be cut off")
+    elif n:
+        out.append(f"no snapshot vouches for any of {n} file(s); most of the archive seems to be missing")
     return out

@@ -68,7 +68,13 @@ def promote_errored(files: DataFrame) -> DataFrame:
     return update(files, in_phase("filtered") & F.col("canonical_id").isNull() & has(F.col("flags"), "dedup_error"), phase="deduped")
 
 
+def crowded_canonicals(files: DataFrame) -> DataFrame:
+    """(sha1, size, n) of groups with more than one filtered row that is its own canonical; there must be none."""
+    return files.where(in_phase("filtered") & is_self_canonical()).groupBy("sha1", "size").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def promote_active_canonicals(files: DataFrame) -> DataFrame:
+    """The active canonical of each group becomes deduped; a group may have one at a time."""
     return update(files, in_phase("filtered") & is_self_canonical(), phase="deduped")
 
 
@@ -95,9 +101,7 @@ def archive_ineligible(files: DataFrame, require_digest: bool = True) -> DataFra
 
 
 def mark_appended(files: DataFrame, ids: DataFrame) -> DataFrame:
-    own = ids.select(F.col("id").alias("__id")).distinct()
-    joined = files.join(own, F.col("id") == F.col("__id"), "left")
-    return update(joined, F.col("__id").isNotNull(), flags=with_flag(F.col("flags"), "appended")).select(files.columns)
+    return set_flags(files, ids, "appended")
 
 
 def archive_appended(files: DataFrame) -> DataFrame:
@@ -125,9 +129,7 @@ def normalise_installed(files: DataFrame) -> DataFrame:
 
 
 def mark_extracted(files: DataFrame, ids: DataFrame) -> DataFrame:
-    own = ids.select(F.col("id").alias("__id")).distinct()
-    joined = files.join(own, F.col("id") == F.col("__id"), "left")
-    return update(joined, F.col("__id").isNotNull(), flags=with_flag(F.col("flags"), "extracted")).select(files.columns)
+    return set_flags(files, ids, "extracted")
 
 
 def _content_extracted(files: DataFrame) -> DataFrame:
@@ -181,6 +183,13 @@ def fill_names(files: DataFrame, users: DataFrame, groups: DataFrame) -> DataFra
     return joined.select(*(F.coalesce("__user", F.col(c)).alias(c) if c == "username" else F.coalesce("__group", F.col(c)).alias(c) if c == "groupname" else F.col(c) for c in files.columns))
 
 
+def set_flags(files: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """A flag for all rows of ``ids(id)``."""
+    own = ids.select(F.col("id").alias("__id")).distinct()
+    joined = files.join(own, F.col("id") == F.col("__id"), "left")
+    return update(joined, F.col("__id").isNotNull(), flags=with_flag(F.col("flags"), name)).select(files.columns)
+
+
 def set_flag(files: DataFrame, id: int, name: str) -> DataFrame:
     return update(files, F.col("id") == id, flags=with_flag(F.col("flags"), name))
 

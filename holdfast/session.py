@@ -30,10 +30,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpointed(df):
-    """``df`` cut from its lineage in the folder that all executors share (``spark.checkpoint.dir``); a
-    private folder is set only where the session names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="holdfast-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
+    """``df`` cut from its lineage in the folder that all executors share (``spark.checkpoint.dir``). Only a
+    session in one process, as in tests, may go without the setting and gets a private folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("a cluster must name the folder that executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="holdfast-checkpoint-"))
     return df.checkpoint()

@@ -208,3 +208,22 @@ def read_tree(spark: SparkSession, root: str, partitions: int = 64, attributes:
     rows = spark.read.format("tree").option("partitions", partitions).option("attributes", str(attributes).lower()).load(root)
     rows = with_offsets(rows, ["rel_path"]).withColumn("id", F.col("position")).drop("position", "offset")
     return conform(rows.withColumn("ext", F.when(F.col("ftype") == "dir", "").otherwise(extension(F.col("rel_path")))))
+
+
+def owner_names(numbers: DataFrame) -> DataFrame:
+    """``numbers(kind, number)``, kind user or group, -> (kind, number, name); unknown numbers have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import grp
+        import pwd
+
+        for b in batches:
+            names = []
+            for of, number in zip(b.column("kind").to_pylist(), b.column("number").to_pylist()):
+                try:
+                    names.append(pwd.getpwuid(number).pw_name if of == "user" else grp.getgrgid(number).gr_name)
+                except (KeyError, OverflowError):
+                    names.append(None)
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("number"), pa.array(names, pa.string())], ["kind", "number", "name"])
+
+    return numbers.select("kind", F.col("number").cast("long")).mapInArrow(run, "kind string, number long, name string")
