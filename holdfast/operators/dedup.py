@@ -17,18 +17,18 @@ from .predicates import in_phase, is_file
 from .transitions import set_canonical, set_flags, skip_missing_digests, skip_non_files
 
 
-def elect(rows: DataFrame, keys: tuple[str, ...] = ("sha1", "size")) -> DataFrame:
-    """``rows(id, *keys)`` -> (id, canonical_id): the smallest id of rows with equal keys.
+def elect(rows: DataFrame, keys: tuple[str, ...] = ("sha1", "size"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """``rows(id, *keys)`` -> (id, canonical_id, *keep): the smallest id of rows with equal keys.
 
     A grouped minimum with map-side combining and a join back, not a window: a group that holds a third of
     all rows (empty files) is summed before it moves, and the join splits it. Rows with a null key elect
     themselves; they are equal to nothing."""
-    own = rows.select("id", *keys)
+    own = rows.select("id", *dict.fromkeys([*keys, *keep]))
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     first = own.where(whole).groupBy(*keys).agg(F.min("id").alias("canonical_id"))
-    return own.where(whole).join(first, list(keys)).select("id", "canonical_id").unionByName(own.where(~whole).select("id", F.col("id").alias("canonical_id")))
+    return own.where(whole).join(first, list(keys)).select("id", "canonical_id", *keep).unionByName(own.where(~whole).select("id", F.col("id").alias("canonical_id"), *keep))
 
 
 def dedup(files: DataFrame, content: DataFrame | None = None, singletons_canonical: bool = True) -> DataFrame:

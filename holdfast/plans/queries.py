@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import attributes, content, paths, units
-from ..operators import dedup, keyed, links, reports, restore, scan, sparse
+from ..functions import attributes, content, paths, times, units
+from ..operators import dedup, keyed, links, lookup, reports, restore, scan, sparse
 from ..operators import transitions as tr
 from ..operators.offsets import with_offsets
 from ..operators.predicates import archivable, changed_since, in_phase, selected, sparsify_candidate
@@ -38,7 +38,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 def canonical_election(spark, d):
     """Which copy of each content is kept; equal digests and sizes are verified by content."""
     rows = _docs(spark, d).where("text is not null").select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("size"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("content"))
-    return rows.select("id", "size").join(dedup.elect(rows, ("sha1", "size", "content")), "id").select("id", "size", "canonical_id", (F.col("id") == F.col("canonical_id")).alias("is_canonical"))
+    elected = dedup.elect(rows, ("sha1", "size", "content"), keep=("size",))
+    return elected.select("id", "size", "canonical_id", (F.col("id") == F.col("canonical_id")).alias("is_canonical"))
 
 
 @query("with FILES select id, rel_path, ext, size, sha1, ftype, uid, gid, mode, sparse_count, canonical_id, phase, flags from files")
@@ -112,10 +113,10 @@ def format_units(spark, d):
     return rows.select("id", units.format_bytes(F.col("n")).alias("bytes"), units.format_duration(F.col("s")).alias("duration"), units.format_mib(F.col("n")).alias("mib"), units.truncate_middle(F.col("rel_path"), 13).alias("short"))
 
 
-@query("select event_id, event_type attribute, cast(user_id as varchar) value, cast(user_id % 8 as integer) perm, user_id owner from events where event_id % 3 = 0")
+@query("select event_id, event_type attribute, cast(user_id as varchar) value, cast(user_id % 8 as integer) perm, user_id owner from events")
 def attribute_json(spark, d):
     """Attributes and access lists written as JSON and read back."""
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 3 = 0")
+    e = spark.read.parquet(f"{d}/events.parquet")
     stored = e.select("event_id", attributes.dump_xattrs(F.create_map("event_type", F.col("user_id").cast("string"))).alias("x"), F.to_json(F.create_map(F.concat(F.lit("user:"), F.col("user_id").cast("string")), (F.col("user_id") % 8).cast("int"))).alias("a"))
     read = stored.select("event_id", attributes.xattrs(F.col("x")).alias("attrs"), attributes.acl_entries(F.col("a"))[0].alias("e"))
     return read.select("event_id", F.map_keys("attrs")[0].alias("attribute"), F.map_values("attrs")[0].alias("value"), F.col("e.permissions").alias("perm"), F.col("e.identifier").alias("owner"))
@@ -337,10 +338,10 @@ def distinct_owners(spark, d):
 
 
 @query("""with c as (select doc_id id, hex(encode(coalesce(text, ''))) || repeat('00', doc_id % 100) h from documents), s as (select id, h, len(h) // 2 n from c)
-select id, n size, cast(len(list_filter(range(0, n // 16), lambda i: substr(h, 32 * i + 1, 32) = repeat('00', 16))) as bigint) sparse_count from s""")
+select id, sha1(unhex(h)) sha1, n size, cast(len(list_filter(range(0, n // 16), lambda i: substr(h, 32 * i + 1, 32) = repeat('00', 16))) as bigint) sparse_count from s""")
 def zero_page_count(spark, d):
     """Empty pages of 16 bytes, with the digest, in one pass over each content."""
-    return sparse.inspect_content(fixtures.contents(spark, d), 16).select("id", "size", "sparse_count")
+    return sparse.inspect_content(fixtures.contents(spark, d), 16).select("id", "sha1", "size", "sparse_count")
 
 
 @query("""with c as (select doc_id id, hex(encode(coalesce(text, ''))) || repeat('00', doc_id % 100) h from documents)
@@ -428,3 +429,133 @@ def restore_plan(spark, d):
 select id, member, case when flags & 4 <> 0 then '/work/sparse/' || member else '/data/' || rel_path end source from k""")
 def stage_plan(spark, d):
     return restore.stage_plan(fixtures.files(spark, d), "/data", "/work/sparse").select("id", "member", "source")
+
+
+# -- plain reads, single updates, sums ------------------------------------------------------------
+
+
+@query("with FILES select id, rel_path, ext, size, sha1, ftype, canonical_id, phase, flags, row_number() over (order by id) as position from files where phase = 'staged'")
+def phase_in_order(spark, d):
+    """A phase's narrow rows in the order of ids, with the place of each."""
+    rows = lookup.in_order(fixtures.files(spark, d), "staged").drop("mtime", "atime", "ctime")
+    return with_offsets(rows, ["id"]).drop("offset")
+
+
+@query("with FILES select id, rel_path, phase from files where id in (7, 31, 100)")
+def point_lookup(spark, d):
+    f = fixtures.files(spark, d)
+    found = [lookup.by_id(f, i).select("id", "rel_path", "phase") for i in (7, 31, 100)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("with FILES select count(*) n, count(*) filter (where phase = 'staged') staged from files")
+def row_counts(spark, d):
+    f = fixtures.files(spark, d)
+    return spark.range(1).select(F.lit(lookup.count(f)).cast("long").alias("n"), F.lit(lookup.count(f, "staged")).cast("long").alias("staged"))
+
+
+@query("with FILES select id, case when id = 12 then 'archived' else phase end phase, case when id = 13 then flags | 8 when id = 14 then flags & ~64 else flags end flags from files")
+def single_updates(spark, d):
+    f = tr.mark_phase(fixtures.files(spark, d), 12, "archived")
+    return tr.clear_flag(tr.set_flag(f, 13, "checked"), 14, "appended").select("id", "phase", "flags")
+
+
+@query("""with FILES select id, case when id % 3 = 0 then sha1('n' || cast(id as varchar)) else sha1 end sha1, case when id % 3 = 0 then id % 4 else sparse_count end sparse_count, case when id % 3 = 0 then 'hashed' else phase end phase from files""")
+def set_inspection(spark, d):
+    """Digests and zero pages of inspected rows replace what the catalog had."""
+    f = fixtures.files(spark, d)
+    found = f.where("id % 3 = 0").select("id", F.sha1(F.concat(F.lit("n"), F.col("id").cast("string"))).alias("sha1"), (F.col("id") % 4).alias("sparse_count"))
+    return tr.set_inspection(f, found).select("id", "sha1", "sparse_count", "phase")
+
+
+@query("with FILES select id, 'archived' phase, case when phase = 'archived' then 0 else 1 end moved from files")
+def archive_remainder(spark, d):
+    f = fixtures.files(spark, d)
+    was = f.select("id", F.when(F.col("phase") == "archived", 0).otherwise(1).alias("moved"))
+    return tr.archive_remainder(f).select("id", "phase").join(was, "id")
+
+
+@query("with FILES select id, case when id % 4 = 1 then flags | 1 else flags end flags from files")
+def mark_extracted(spark, d):
+    f = fixtures.files(spark, d)
+    return tr.mark_extracted(f, f.where("id % 4 = 1").select("id")).select("id", "flags")
+
+
+@query("with FILES select id, case when phase = 'filtered' and flags & 8 <> 0 then flags - 8 else flags end flags, case when phase = 'filtered' and canonical_id = id then 'deduped' else phase end phase from files")
+def end_of_round(spark, d):
+    """After a round the checked flags go and active canonicals are settled."""
+    return tr.promote_active_canonicals(tr.clear_checked(fixtures.files(spark, d))).select("id", "flags", "phase")
+
+
+@query("with FILES select sha1, size, count(*) n from files where phase = 'filtered' and canonical_id is not null group by 1, 2 having count(*) > 1")
+def crowded_canonicals(spark, d):
+    """Groups in which several filtered rows are their own canonical: there should be none, here there are."""
+    f = fixtures.files(spark, d)
+    return tr.crowded_canonicals(tr.update(f, F.col("canonical_id").isNotNull(), canonical_id=F.col("id")))
+
+
+@query("with FILES select cast(coalesce(sum(size), 0) as bigint) n_bytes from files where phase = 'archived'")
+def bytes_to_restore(spark, d):
+    return reports.bytes_to_restore(tr.update(fixtures.files(spark, d), in_phase("archived"), phase="unarchived"))
+
+
+@query("with FILES select count(*) filter (where id % 3 > 0) ok, count(*) filter (where id % 3 = 0) failed from files where phase = 'deduped'")
+def sparsify_tally(spark, d):
+    f = fixtures.files(spark, d)
+    return reports.sparsify_tally(f.where("phase = 'deduped'").select("id", (F.col("id") % 3 > 0).alias("ok")))
+
+
+_SESSION = "select o_orderkey id, cast(floor(o_totalprice) as bigint) archive_offset, case o_orderstatus when 'O' then 0 when 'F' then 1 else 2 end finalized from orders"
+
+
+def _sessions(spark, d) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    state = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "F", 1).otherwise(2)
+    return o.select(F.col("o_orderkey").alias("id"), F.floor("o_totalprice").cast("long").alias("archive_offset"), state.alias("finalized"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"))
+
+
+@query(f"with s as ({_SESSION}) select id, archive_offset, finalized, false closed from s union all select max(id) + 1, 4096, 1, true from s")
+def session_begin_finalize(spark, d):
+    """A session is appended to the log, and its end closes it alone."""
+    s = _sessions(spark, d)
+    begun = keyed.begin_session(s, 4096)
+    number = s.agg(F.max("id")).first()[0] + 1
+    return keyed.finalize_session(begun, number).select("id", "archive_offset", "finalized", F.col("finished_at").isNotNull().alias("closed"))
+
+
+@query(f"with FILES, s as ({_SESSION}), o as (select id, archive_offset from s where finalized = 0 order by id desc limit 1) select 'session' what, s.id, case when s.id = (select id from o) then 2 else finalized end state, (select archive_offset from o) cut from s union all select 'file', id, case when flags & 64 <> 0 and phase <> 'archived' then flags - 64 else flags end, (select archive_offset from o) from files")
+def session_recover(spark, d):
+    """After a crash the latest open session is aborted, its unconfirmed members are pending, and the file is cut."""
+    sessions, files, cut = keyed.recover(_sessions(spark, d), fixtures.files(spark, d))
+    rows = sessions.select(F.lit("session").alias("what"), "id", F.col("finalized").cast("long").alias("state"))
+    return rows.unionByName(files.select(F.lit("file").alias("what"), "id", F.col("flags").alias("state"))).withColumn("cut", F.lit(cut).cast("long"))
+
+
+@query("with FILES select id, rel_path from files where ftype = 'file' and (phase <> 'archived' or sha1 is null)")
+def unrestored_files(spark, d):
+    """Regular files of a catalog that no payload of the archive restores."""
+    f = tr.update(fixtures.files(spark, d), in_phase("archived"), phase="unarchived")
+    return restore.unrestored(f).select("id", "rel_path")
+
+
+@query(r"with FILES select id, case when starts_with(rel_path, 'src1/') then regexp_replace(rel_path, '^src1/', '') end inside from files")
+def relative_path(spark, d):
+    f = fixtures.files(spark, d)
+    return f.select("id", F.when(F.col("rel_path").startswith("src1/"), paths.relative(F.col("rel_path"), F.lit("src1"))).alias("inside"))
+
+
+@query("""select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when microsecond(ts) % 1000000 = 0 then '' else '.' || rtrim(strftime(ts, '%f'), '0') end || '+00:00' printed, ts as parsed, epoch_us(ts) // 1000000 - 5400 * (event_id % 3) as shifted from events""")
+def rfc3339_times(spark, d):
+    """Moments printed and read back, and read with other offsets."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    text = times.print_time(F.col("ts").cast("timestamp"))
+    offsets = F.array(*map(F.lit, ["Z", "+01:30", "+03:00"]))
+    moved = F.concat(F.expr("substring(printed, 1, length(printed) - 6)"), F.get(offsets, (F.col("event_id") % 3).cast("int")))
+    return e.select("event_id", "ts", text.alias("printed")).select("event_id", "printed", times.parse_time(F.col("printed")).cast("timestamp_ntz").alias("parsed"), F.unix_timestamp(times.parse_time(moved)).alias("shifted"))
+
+
+@query("select event_id, case when event_id % 4 = 0 or event_id % 100 >= 90 then '?' when s < 60 then s || ' seconds' when s < 3600 then (s // 60) || 'min' || lpad(cast(s % 60 as varchar), 2, '0') || 's' else (s // 3600) || 'h' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || 'min' || lpad(cast(s % 60 as varchar), 2, '0') || 's' end eta from (select event_id, cast(floor((90 - event_id % 100) * (event_id % 977 + 1) * 1.0::double / greatest(case when event_id % 4 = 0 then 0 else event_id % 100 end, 1)) as bigint) s from events)")
+def time_left(spark, d):
+    """What a progress line says is left; a question mark where nothing is known."""
+    e, k = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
+    return e.select("event_id", units.format_eta(F.when(k % 4 == 0, 0).otherwise(k % 100), F.lit(90), (k % 977 + 1).cast("double")).alias("eta"))
