@@ -189,11 +189,14 @@ def text_key(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a private one is set only where the cluster names none."""
+    """The folder all executors share, as the session names it. Only a session in one process, as in tests, may go
+    without the setting and gets a private folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name the folder that executors share in spark.checkpoint.dir")
         path = tempfile.mkdtemp(prefix="holdfast-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)

@@ -51,6 +51,51 @@ def test_few_sequences(spark):
     assert len({r.sequence_id for r in out}) <= 1.02 * np.ceil(sum(r.length for r in out) / 1024)
 
 
+def plain_best_fit(lengths, tokens, documents, attention, weights, rule):
+    """Every open bin is asked for every piece; the bins as (tokens, pieces, cost) used."""
+    cap, bins = (tokens, documents, attention), []
+    for n in sorted(lengths, reverse=True):
+        need, best = (n, 1, n * n), None
+        for k, used in enumerate(bins):
+            left = [c - u for c, u in zip(cap, used)]
+            if all(x >= y for x, y in zip(left, need)):
+                if rule == "norm":
+                    cost = sum(w * ((x - y) / c) ** 2 for w, x, y, c in zip(weights, left, need, cap))
+                else:
+                    cost = -sum(w * y / c**2 * x for w, x, y, c in zip(weights, left, need, cap))
+                if best is None or cost < best[0]:
+                    best = cost, k
+        if best is None or n == tokens:
+            bins.append(list(need))
+        else:
+            bins[best[1]] = [u + y for u, y in zip(bins[best[1]], need)]
+    return sorted(map(tuple, bins))
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("documents, attention", [(1024, 1 << 20), (3, 1 << 20), (1024, 60_000), (4, 80_000)])
+def test_best_fit_against_plain_version(rule, documents, attention):
+    rng = np.random.default_rng(documents + attention)
+    for weights in ((1.0, 1e-3, 1e-3), (0.7, 0.31, 0.53)):
+        lengths = rng.integers(1, 230, 160)
+        where, _ = packing.best_fit(lengths, 256, documents, attention, weights, rule)
+        got = sorted((int(lengths[where == b].sum()), int((where == b).sum()), int((lengths[where == b] ** 2).sum())) for b in set(where.tolist()))
+        assert got == plain_best_fit(lengths.tolist(), 256, documents, attention, weights, rule)
+
+
+def test_capacities_that_bind(spark):
+    """The query's operator on the table, with fewer documents and less attention than the tokens allow."""
+    parts = packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 512).cache()
+    counts = []
+    for documents, attention in ((1024, 1 << 20), (2, 1 << 20), (1024, 400_000)):
+        bins = {}
+        for r in packing.pack(parts, 1024, documents, attention).collect():
+            bins.setdefault(r.sequence_id, []).append(r.length)
+        assert all(sum(b) <= 1024 and len(b) <= documents and sum(n * n for n in b) <= attention for b in bins.values())
+        counts.append(len(bins))
+    assert counts[0] < min(counts[1:])
+
+
 def test_pieces_beyond_a_capacity_are_refused():
     with pytest.raises(ValueError):
         packing.best_fit(np.array([2000]))
@@ -70,5 +115,25 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_stages_on_odd_rows(spark, docs, empty, corpus):
+    """Nulls, repeated rows and ids, empty texts and clashing columns pass through every stage; empty stays empty."""
+    now, ids = docs, {i for i, _ in corpus}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, SF)
+        assert out.columns == docs.columns and stage(spark, empty, SF).count() == 0
+        now = spark.createDataFrame(out.collect(), docs.schema)
+        assert {r.doc_id for r in now.select("doc_id").distinct().collect()} <= ids
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, now, SF).select("doc_id").distinct().count() == now.select("doc_id").distinct().count() and last(spark, empty, SF).count() == 0
+
+
+def test_the_pipeline_leaves_no_tables(spark):
+    from pathlib import Path
+
+    folder = Path(packing.shared_dir(spark).removeprefix("file:"))
+    corpus_pipeline.run(spark, SF).count()
+    assert not [p for p in folder.glob("pipeline-*")]
+
+
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))

@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -83,6 +86,60 @@ def test_dual_descent_separates():
     assert ((np.array(margin) > 0) == (label == 1)).mean() > 0.97 and model["scale"] > 0
 
 
+def test_the_fit_minimises_the_hinge_loss():
+    """No step from the fitted weights lowers the regularised, class-weighted squared hinge loss."""
+    rng = np.random.default_rng(3)
+    label = rng.integers(0, 2, 120)
+    rows = [np.unique(np.concatenate([rng.integers(0, 40, 5) + 25 * y, rng.integers(100, 160, 5)])) for y in label]
+    model = quality.fit(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), label, rounds=300)
+    ratio = np.sqrt(model["r2"].astype(float)) * np.sign(model["r2"])
+    again, held = np.random.default_rng(quality.SEED), np.zeros(len(label), bool)
+    for c in (0, 1):
+        own = again.permutation(np.flatnonzero(label == c))
+        held[own[: len(own) // 5]] = True
+    used = sorted({i for r in rows for i in r.tolist()})
+    x = np.zeros((len(rows), len(used)))
+    for k, r in enumerate(rows):  # signs of ratios only turn weights over, so they are left out on both sides
+        x[k, np.searchsorted(used, r)] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+    w = model["v"][used].astype(float) / np.where(ratio[used] > 0, ratio[used], 1)
+    y, n, ones = 2.0 * label - 1, len(label), int(label.sum())
+    weight = np.where(label == 1, n / (2 * ones), n / (2 * (n - ones)))
+
+    def loss(w, b):
+        slack = np.maximum(0, 1 - y * (x @ w + b))[~held]
+        return 0.5 * (w @ w + b * b) + (weight[~held] * slack**2).sum()
+
+    best = loss(w, model["b"])
+    for _ in range(200):
+        d, e = rng.normal(size=len(used)) * 0.02, rng.normal() * 0.02
+        assert loss(w + d, model["b"] + e) > best
+
+
+def plain_features(text):
+    """Distinct features of a text, built word by word: as sets of names, not of buckets."""
+    words = brute.SPACE.findall(text)
+    shape = [re.sub(r"([A-Z])+|([a-z\x80-\U0010ffff])+|([0-9])+", lambda m: "A" if m[1] else "a" if m[2] else "0", w) for w in words]
+    out = {("word", w) for w in words} | {("pair", a, b) for a, b in zip(words, words[1:])}
+    pairs = [(a, b, c == d) for a, b, c, d in zip(shape, shape[1:], words, words[1:])]
+    for kind, names in (("shape", shape), ("shapes", pairs)):
+        out |= {(kind, k, math.ceil(math.log2(n / len(words)) * 0.75)) for k, n in Counter(names).items()}
+    return out
+
+
+def test_features_against_plain_version():
+    """As many buckets as plain features (but for collisions), and equal ones exactly where names are equal."""
+    rng, bucket = random.Random(9), {}
+    texts_ = [" ".join(rng.choice(["Ab", "ab", "a1", "99", "x-y", "\u00e9t\u00e9", "AB", "Q"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    data = np.frombuffer("".join(texts_).encode(), np.uint8)
+    index, offs = quality.features(data, np.cumsum([0, *(len(t.encode()) for t in texts_)]))
+    sets = [set(index[offs[i] : offs[i + 1]].tolist()) for i in range(len(texts_))]
+    names = [plain_features(t) for t in texts_]
+    assert sum(len(a) != len(b) for a, b in zip(sets, names)) <= 2
+    for i in range(len(texts_)):
+        for j in range(i):
+            assert abs(len(sets[i] & sets[j]) - len(names[i] & names[j])) <= 1
+
+
 def test_order_of_the_sample_does_not_matter(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
     a, b = quality.train(docs, labels), quality.train(docs.orderBy(F.rand(3)), labels.orderBy(F.rand(4)))
