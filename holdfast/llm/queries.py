@@ -15,10 +15,13 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_classifier": quality.op10_quality_classifier,
+    # the part of op3 that SQL can express, under a name of its own
+    "quality_base_figures": rules.quality_base_figures,
 }
 ORACLES = {
     "op1_substring_dedup": phrases.ORACLE,
     "op2_suffix_array_dedup": suffixes.ORACLE,
     "op4_benchmark_decontamination": decontaminate.ORACLE,
     "op9_line_dedup": lines.ORACLE,
+    "quality_base_figures": rules.BASE_ORACLE,
 }

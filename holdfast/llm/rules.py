@@ -169,3 +169,22 @@ def keep_good(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir)
     return rules(docs, learn(docs, texts(spark, sf_dir, "labels")))
+
+
+BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def quality_base_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base figures and the base rules' verdict of every document, without the ratio."""
+    return rules(texts(spark, sf_dir), np.zeros(BUCKETS, np.float32)).select(BASE)
+
+
+BASE_ORACLE = r"""
+with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+l as (select doc_id, count(*) - count(distinct l) n from (select doc_id, unnest(string_split(t, chr(10))) l from d) where regexp_matches(l, '[^\x20\x09-\x0D]') group by 1),
+g as (select doc_id, i, count(*) over (partition by doc_id, k) c from (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 7), ' ')) k from (select *, unnest(range(1, len(w) - 6)) i from d where len(w) >= 8))),
+r as (select doc_id, count(distinct j) n from (select doc_id, unnest(range(i, i + 8)) j from g where c > 1) group by 1),
+b as (select d.doc_id, cast(len(w) as bigint) n_words, cast(length(array_to_string(w, '')) as bigint) word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) n_symbols,
+  cast(coalesce(l.n, 0) as bigint) n_dup_lines, cast(coalesce(r.n, 0) as bigint) n_repeat_words from d left join l using (doc_id) left join r using (doc_id))
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from b
+"""

@@ -3,7 +3,7 @@ import functools
 import brute
 import numpy as np
 import pyarrow as pa
-from holdfast.llm import anchors, decontaminate, lines, phrases, similar, simhash, suffixes
+from holdfast.llm import anchors, decontaminate, lines, phrases, rules, similar, simhash, suffixes
 from holdfast.llm.components import components
 from pyspark.sql import functions as F
 
@@ -235,6 +235,7 @@ def test_components(spark):
 def test_oracles(spark):
     for m, f in ((phrases, phrases.op1_substring_dedup), (suffixes, suffixes.op2_suffix_array_dedup), (decontaminate, decontaminate.op4_benchmark_decontamination), (lines, lines.op9_line_dedup)):
         assert_equal(f(spark, SF), m.ORACLE)
+    assert_equal(rules.quality_base_figures(spark, SF), rules.BASE_ORACLE)
 
 
 def test_row_order_does_not_matter(docs):

@@ -136,4 +136,4 @@ def test_the_pipeline_leaves_no_tables(spark):
 
 
 def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
