@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, spread_names
+from .components import common_keys, components, dealt_join, spread_names
 from .textcore import LOWER, SPACE, chunks, hash_words, mix, roll, shared_dir, signed, split_words, spread
 
 WORDS, SIMILARITY = 5, 0.8
@@ -429,11 +429,14 @@ def _paired(similarity: float):
 
 
 def possible(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sketches allow the similarity; the others are not alike."""
+    """Those of the pairs (u, v) whose sketches allow the similarity; the others are not alike. The pairs are read
+    several times, to tell the nodes of many pairs."""
+    total = pairs.count()
     x = distinct.select(F.col("node").alias("u"), F.col("size").alias("n"), F.col("sketch").alias("x"))
     y = distinct.select(F.col("node").alias("v"), F.col("size").alias("m"), F.col("sketch").alias("y"))
     near = F.least("n", "m") >= F.lit(similarity) * F.greatest("n", "m") - F.lit(1e-6)
-    return pairs.join(x, "u").join(y, "v").where(near).select("u", "v", "n", "m", "x", "y").mapInArrow(_possible(similarity), "u long, v long")
+    both = dealt_join(dealt_join(pairs, x, "u", "v", common_keys(pairs, "u", total)), y, "v", "u", common_keys(pairs, "v", total))
+    return both.where(near).select("u", "v", "n", "m", "x", "y").mapInArrow(_possible(similarity), "u long, v long")
 
 
 def remaining_edges(narrow: DataFrame, distinct: DataFrame, linked: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -447,14 +450,17 @@ def remaining_edges(narrow: DataFrame, distinct: DataFrame, linked: DataFrame, w
 
 def verified(edges: DataFrame, narrow: DataFrame, distinct: DataFrame, words: int, similarity: float) -> DataFrame:
     """The edges whose texts are alike. Only the sets of texts with an edge move: the documents are read through
-    a filter of fixed size, and what it lets pass beyond them finds no edge."""
+    a filter of fixed size, and what it lets pass beyond them finds no edge. The edges of a node that many edges
+    have are dealt over several tasks, its set goes to each of them."""
+    total = edges.count()
     wanted = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(distinct.select("node", "rep"), "node").select("rep")
     bits = narrow.sparkSession.sparkContext.broadcast(id_filter(wanted))
     sets = narrow.select("text", _place(F.col("doc_id")).alias("place")).mapInArrow(_shingled(words, bits), "node long, shingles array<long>").dropDuplicates(["node"])
     x, y = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     alike = common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)
-    return edges.join(x, "u").join(y, "v").where(alike).select("u", "v")
+    both = dealt_join(dealt_join(edges, x, "u", "v", common_keys(edges, "u", total)), y, "v", "u", common_keys(edges, "v", total))
+    return both.where(alike).select("u", "v")
 
 
 def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -465,9 +471,11 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     distinct = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("sig", "size", "sketch")), F.count("*").alias("copies")).checkpoint()
     total, texts = rows.count(), distinct.count()
     files = texts // 200_000 + 1
-    edges = possible(candidate_edges(distinct.select("node", "sig"), max(BUCKETS, texts // 100_000)), distinct, similarity).coalesce(files).checkpoint()
+    pairs = candidate_edges(distinct.select("node", "sig"), max(BUCKETS, texts // 100_000)).coalesce(files).checkpoint()
+    edges = possible(pairs, distinct, similarity).coalesce(files).checkpoint()
     quick = components(verified(edges, narrow, distinct, words, similarity), texts).checkpoint()
-    edges = possible(remaining_edges(narrow, distinct, quick, words, similarity), distinct, similarity).checkpoint()
+    pairs = remaining_edges(narrow, distinct, quick, words, similarity).checkpoint()
+    edges = possible(pairs, distinct, similarity).coalesce(files).checkpoint()
     found = verified(edges, narrow, distinct, words, similarity)
     linked = components(quick.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found), texts).withColumnRenamed("node", "__node")
     member = distinct.select("node", "rep", "copies").join(linked, F.col("node") == F.col("__node"), "left").select("node", "rep", "copies", F.coalesce("component", "node").alias("component"))
