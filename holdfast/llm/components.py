@@ -1,8 +1,7 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round is two grouped minima and joins back to the edges; rounds are cut by ``checkpoint()`` in the
-shared folder, and a round's count and checksum (two numbers) tell the driver whether it changed. No join
-has a hot key: the minima of nodes with many edges are broadcast, as :func:`spread_names` does it.
+shared folder, and a round's count and checksum (two numbers) tell the driver whether it changed.
 """
 
 from __future__ import annotations
@@ -19,28 +18,31 @@ def _state(e: DataFrame) -> tuple:
 
 #: A key is common if more than one row in so many has it.
 COMMON = 1000
-#: Places over which the rows of a common key are dealt where its values are too large to broadcast.
-PLACES = 64
 #: Nodes for which a round's edges are kept in one file more.
 NODES_A_FILE = 200_000
 
 
-def components(edges: DataFrame, nodes: int | None = None) -> DataFrame:
+def components(edges: DataFrame, nodes: int | None = None, spread: bool = False) -> DataFrame:
     """``edges(u, v)`` of longs -> ``(node, component)`` for every node with an edge to another one;
     component is the smallest node reachable. Self-loops and repeats don't matter; empty gives empty.
 
     nodes: how many nodes there are at most, if known; rounds are then written in files of about
-    ``NODES_A_FILE`` nodes rather than one for every shuffle partition."""
+    ``NODES_A_FILE`` nodes rather than one for every shuffle partition.
+
+    spread: the minima of nodes with many edges are broadcast, as :func:`spread_names` does it, so that no join has
+    a hot key; the plans of a round are about three times as large, which the driver's memory must hold. Else
+    adaptive execution splits such a join beyond its size threshold. The result is the same."""
     shared_dir(edges.sparkSession)
     cut = lambda df: (df if nodes is None else df.coalesce(nodes // NODES_A_FILE + 1)).checkpoint()
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(e)
+    join = spread_names if spread else lambda rows, low, key, value, _: rows.join(low.select(key, value), key)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("copies")).select("u", F.least("u", "m").alias("m"), "copies")
-        large = spread_names(both, low, "u", "m", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join(both, low, "u", "m", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("copies"))
-        small = spread_names(large, low, "u", "m", state[0])
+        small = join(large, low, "u", "m", state[0])
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = _state(e)
@@ -57,20 +59,3 @@ def spread_names(rows: DataFrame, named: DataFrame, key: str, value: str, total:
     few = F.broadcast(hot.select(key, value).limit(COMMON))
     rest = rows.join(F.broadcast(hot.select(key).limit(COMMON)), key, "left_anti")
     return rows.join(few, key).unionByName(rest.join(named.where(F.col("copies") * COMMON <= total).select(key, value), key))
-
-
-def common_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
-    """(key, ``__hot``) of the keys of more than one row in ``COMMON`` and of more rows than ``PLACES``; fewer
-    than ``COMMON``. total: the number of rows, which are counted here and so should be cheap to read."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") * COMMON > total) & (F.col("n") > PLACES))
-    return F.broadcast(counts.select(key, F.lit(True).alias("__hot")).limit(COMMON))
-
-
-def dealt_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame) -> DataFrame:
-    """``rows`` joined with ``table`` by ``key``, of which table has each value once. The rows of a hot key are
-    dealt over ``PLACES`` by the hash of the column ``by``; its entry in the table goes to all of them."""
-    place = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(PLACES)).cast("int")).otherwise(F.lit(0))
-    places = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0)))
-    dealt = rows.join(hot, key, "left").withColumn("__place", place).drop("__hot")
-    copies = table.join(hot, key, "left").withColumn("__place", F.explode(places)).drop("__hot")
-    return dealt.join(copies, [key, "__place"]).drop("__place")

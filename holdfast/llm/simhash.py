@@ -86,7 +86,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     found = links(distinct.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     different = distinct.count()
-    linked = components(found, different).withColumnRenamed("node", "fp")
+    linked = components(found, different, spread=True).withColumnRenamed("node", "fp")
     least = linked.join(distinct, "fp").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("copies"))
     label = spread_names(linked, least, "component", "component_id", different).select("fp", "component_id")
     named = distinct.join(label, "fp", "left").select("fp", "copies", F.coalesce("component_id", "rep").alias("component_id"))

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 from holdfast.llm import anchors, decontaminate, lines, phrases, rules, similar, simhash, suffixes
-from holdfast.llm.components import common_keys, components, dealt_join
+from holdfast.llm.components import components
 from pyspark.sql import functions as F
 
 from oracle import SF, assert_equal
@@ -236,23 +236,12 @@ def test_components_with_hot_nodes(spark):
     """Stars whose middle is their smallest, largest or some other node, and pairs: few keys hold most edges."""
     stars = [(0, range(10, 3000)), (9000, range(4000, 6000)), (6500, [*range(6001, 6500), *range(6501, 7000)])]
     edges = [(m, x) for m, leaves in stars for x in leaves] + [(20_000 + 2 * i, 20_001 + 2 * i) for i in range(1500)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
+    got, plain = ({r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5), spread=x).collect()} for x in (True, False))
+    assert got == plain
     want = {x: min(m, *leaves) for m, leaves in stars for x in [m, *leaves]}
     assert got == {**want, **{20_000 + 2 * i + k: 20_000 + 2 * i for i in range(1500) for k in (0, 1)}}
 
 
-def test_hot_keys_are_dealt(spark):
-    """The rows of one key meet its entry in several places, once each; keys without entry find nothing."""
-    rng = range(5000)
-    left = spark.createDataFrame([(i if i % 3 else 0, i) for i in rng], "u long, v long").repartition(4)
-    right = spark.createDataFrame([(i, f"x{i}") for i in rng if i % 7 or not i], "u long, x string")
-    hot = common_keys(left, "u", 5000)
-    assert [r.u for r in hot.collect()] == [0]
-    got = dealt_join(left, right, "u", "v", hot)
-    assert got.columns == ["u", "v", "x"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "u").collect()))
-    assert common_keys(left.limit(0), "u", 0).count() == 0 == dealt_join(left.limit(0), right, "u", "v", common_keys(left.limit(0), "u", 0)).count()
-
-
 def test_oracles(spark):
     for m, f in ((phrases, phrases.op1_substring_dedup), (suffixes, suffixes.op2_suffix_array_dedup), (decontaminate, decontaminate.op4_benchmark_decontamination), (lines, lines.op9_line_dedup)):
         assert_equal(f(spark, SF), m.ORACLE)
