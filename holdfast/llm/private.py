@@ -2,7 +2,7 @@
 
 Candidates are found by one pattern and validated: card numbers (Luhn), IBANs (mod 97), social security
 numbers and North American phone numbers (ranges), IPv4 addresses (octets), calendar dates; mail addresses
-and secrets (access keys, hex tokens, passwords) by shape. What is valid is replaced by a keyed
+and secrets (access keys, hex tokens, passwords of 8 to 256 characters) by shape. What is valid is replaced by a keyed
 permutation within its format: its characters become symbols of their own alphabet (digit, upper case,
 lower case, octet, ...), one half of the symbols is shifted by a keyed hash of the other half, and the
 halves take turns for ``ROUNDS`` rounds. That is a permutation of the values of a format under a key, so
@@ -30,7 +30,7 @@ KEY = "holdfast-demonstration-key"
 #: The shapes of candidates. Alternatives are tried in this order at each place.
 MAIL = r"[\p{L}0-9][\p{L}0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 KEY_ID = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-SECRET = r"(?:password|PASSWORD)=[A-Za-z0-9]{8,64}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![A-Za-z0-9])"
+SECRET = r"(?i:password)=[^\x00-\x20\"'<>,;]{8,256}(?![^\x00-\x20\"'<>,;])|(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
@@ -223,10 +223,11 @@ def _ip_ok(v: Column) -> Column:
 
 
 def _day(v: Column) -> Column:
-    """Days since 1700-01-01 of a date in any layout, null if the calendar has none. A date with slashes
-    is read month first, else day first."""
+    """Days since 1700-01-01 of a date in any layout, null if the calendar has none or its year is not within 100 to
+    9699, the cycles whose years all have four digits. A date with slashes is read month first, else day first."""
     parsed = F.coalesce(*(F.try_to_timestamp(v, F.lit(f)) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy")))
-    return F.unix_date(parsed.cast("date")) + 98615
+    days = F.unix_date(parsed.cast("date")) + 98615
+    return F.when(days.between(-4 * 146097, 20 * 146097 - 1), days)
 
 
 def _date(v: Column, key: str) -> Column:
@@ -252,7 +253,8 @@ def kind_of(v: Column) -> Column:
     """The kind of a candidate, null if it fails validation."""
     whole = lambda p: v.rlike("^(?:" + p + ")$")
     return (
-        F.when(v.contains("@"), "mail")
+        F.when(v.contains("="), F.when(F.regexp_replace(v, "^[^=]*=", "").rlike(ALNUM), F.lit("secret")))
+        .when(v.contains("@"), "mail")
         .when(whole(KEY_ID), "key")
         .when(whole(DATE) & _day(v).isNotNull(), "date")
         .when(whole(IP), F.when(_ip_ok(v), F.lit("ip")))
@@ -269,7 +271,7 @@ def pseudonym(v: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "mail", _mail(v, key))
         .when(kind == "key", F.concat(F.substring(v, 1, 4), _alphanumeric(F.substr(v, F.lit(5), F.length(v)), key, "key")))
-        .when(kind == "secret", F.when(v.contains("="), F.concat(F.substring_index(v, "=", 1), F.lit("="), _secret(F.substring_index(v, "=", -1), key))).otherwise(_secret(v, key)))
+        .when(kind == "secret", F.when(v.contains("="), F.concat(F.substring_index(v, "=", 1), F.lit("="), _secret(F.regexp_replace(v, "^[^=]*=", ""), key))).otherwise(_secret(v, key)))
         .when(kind == "iban", _iban(v, key))
         .when(kind == "date", _date(v, key))
         .when(kind == "ip", _ip(v, key))
