@@ -80,17 +80,17 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+    """(doc_id, fp, component_id) for every row of ``docs``. What a later plan holds more than once is cut."""
     shared_dir(docs.sparkSession)
     prints = fingerprints(docs, shingle).checkpoint()
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).checkpoint()
     found = links(distinct.select("fp")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    different = distinct.count()
+    different, total = distinct.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     linked = components(found, different, spread=True).withColumnRenamed("node", "fp")
-    least = linked.join(distinct, "fp").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("copies"))
+    least = linked.join(distinct, "fp").groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("copies")).checkpoint()
     label = spread_names(linked, least, "component", "component_id", different).select("fp", "component_id")
-    named = distinct.join(label, "fp", "left").select("fp", "copies", F.coalesce("component_id", "rep").alias("component_id"))
-    return spread_names(prints, named, "fp", "component_id", prints.count()).select("doc_id", "fp", "component_id")
+    named = distinct.join(label, "fp", "left").select("fp", "copies", F.coalesce("component_id", "rep").alias("component_id")).checkpoint()
+    return spread_names(prints, named, "fp", "component_id", total).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

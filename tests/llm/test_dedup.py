@@ -1,4 +1,5 @@
 import functools
+import re
 
 import brute
 import numpy as np
@@ -242,6 +243,57 @@ def test_components_with_hot_nodes(spark):
     assert got == {**want, **{20_000 + 2 * i + k: 20_000 + 2 * i for i in range(1500) for k in (0, 1)}}
 
 
+def test_components_of_odd_graphs(spark):
+    """Against a plain search: paths in any order, rings, trees, dense groups, loops, repeats, one edge."""
+    import random
+
+    rng = random.Random(21)
+    name = rng.sample(range(-5000, 5000), 900)
+    edges = [(name[i], name[i + 1]) for i in range(120)] + [(name[200 + i], name[200 + (i + 1) % 41]) for i in range(41)]
+    edges += [(name[300 + i], name[300 + rng.randrange(i)]) for i in range(1, 200)] + [(name[600 + i], name[600 + j]) for i in range(25) for j in range(i)]
+    edges += [(name[700 + rng.randrange(150)], name[700 + rng.randrange(150)]) for _ in range(90)] + [(name[890], name[890])]
+    edges += edges[::3] + [(v, u) for u, v in edges[::5]]
+    near, want = {}, {}
+    for u, v in edges:
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    for u in sorted(near):
+        todo = [u]
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = u
+                todo += near[x]
+    for cut in (edges, edges[:1]):
+        for x in (True, False):
+            got = components(spark.createDataFrame(cut, "u long, v long").repartition(3), len(name), spread=x).collect()
+            assert len(got) == len({r.node for r in got})
+            assert {r.node: r.component for r in got} == ({k: want[k] for k in want} if cut is edges else {k: min(edges[0]) for k in edges[0]})
+
+
+def test_plans_of_simhash_stay_small(spark):
+    """The driver keeps every plan. A chain of fingerprints takes several rounds; no plan of a round or of the result
+    may hold a former step again and again."""
+    chain, x = [], 0
+    for i in range(40):
+        x ^= 1 << (3 * i + 7) % 62 | 1 << (5 * i + 1) % 62
+        chain.append((i, x))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    f, simhash.fingerprints = simhash.fingerprints, lambda docs, shingle: docs.selectExpr("doc_id", "cast(text as long) fp")
+    try:
+        got = simhash.classes(spark.createDataFrame([(i, str(p)) for i, p in chain], "doc_id long, text string"))
+        assert {r.doc_id: r.component_id for r in got.collect()} == {i: 0 for i, _ in chain}
+    finally:
+        simhash.fingerprints = f
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seen = store.executionsList(before, 10_000)
+    plans = [seen.apply(i).physicalPlanDescription() for i in range(seen.size())]
+    sizes = [len(set(re.findall(r"^\(\d+\) .*(?:Exchange|Join|Aggregate).*$", p, re.M))) for p in plans]
+    print(sizes)
+    assert len(sizes) > 8 and max(sizes) <= 20
+
+
 def test_oracles(spark):
     for m, f in ((phrases, phrases.op1_substring_dedup), (suffixes, suffixes.op2_suffix_array_dedup), (decontaminate, decontaminate.op4_benchmark_decontamination), (lines, lines.op9_line_dedup)):
         assert_equal(f(spark, SF), m.ORACLE)
